@@ -127,22 +127,33 @@ def links(fps: DataFrame, most: int = 4, tile: int = 8192) -> DataFrame:
             yield pd.DataFrame({"k": k, "fp": x[r]})
 
     near = stage(fps.select("fp").mapInPandas(replicate, "k long, fp long"), "anchors")
+    return compare_tiles(spread(near, tile), most)
+
+
+def spread(near: DataFrame, tile: int) -> DataFrame:
+    """(k, fp, t) of the rows of (k, fp) whose key others share too; a key with more than ``tile`` rows is dealt out over
+    pairs of chunks, each a t of its own."""
     many = near.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / (tile // 2)).cast("int").alias("g"))
     met = near.join(many, "k")
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     other = F.explode(F.when(F.col("g") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1)))
     met = met.select("k", "fp", "g", own.alias("c"), other.alias("o"))
-    tiled = met.select("k", "fp", F.when(F.col("g") <= 2, 0).otherwise(F.least("c", "o") * 65536 + F.greatest("c", "o")).alias("t"))
+    return met.select(F.xxhash64("k").alias("k") if "struct" in near.schema["k"].dataType.simpleString() else "k", "fp", F.when(F.col("g") <= 2, 0).otherwise(F.least("c", "o") * 65536 + F.greatest("c", "o")).alias("t"))
+
+
+def compare_tiles(tiled: DataFrame, most: int) -> DataFrame:
+    """(a, b): spanning links inside each (k, t), whole tiles at a time from rows sorted by tile."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
-        for b in batches:  # sorted by tile: a tile may go on in the next batch
+        for b in batches:  # a tile may go on in the next batch
+            if not len(b):
+                continue
             b = b if held is None else pd.concat([held, b])
-            last = (b["k"] == b["k"].iloc[-1]) & (b["t"] == b["t"].iloc[-1]) if len(b) else None
-            held = b[last] if len(b) else b
-            if len(b):
-                yield from _links_of(b[~last], most)
-        if held is not None and len(held):
+            last = (b["k"] == b["k"].iloc[-1]) & (b["t"] == b["t"].iloc[-1])
+            held = b[last]
+            yield from _links_of(b[~last], most)
+        if held is not None:
             yield from _links_of(held, most)
 
     return tiled.repartition("k", "t").sortWithinPartitions("k", "t").mapInPandas(compare, "a long, b long")
