@@ -44,7 +44,7 @@ def capped_shares(rows: list[tuple[int, float]], budget: float, cap: float) -> l
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 8) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row; ``taken`` counts a document's words once for each time it is served.
+    """(id, size, source_size, target, taken, times) for each row; ``taken`` is size by the times a document is served.
 
     ``weights`` go to the sources in code-point order, repeating. The sources themselves (not rows) are listed on the
     driver to solve the shares: a mix is stated for a list of sources.
@@ -73,7 +73,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     cut = _cut(placed, finish, max_repeats, budget)
     served = lambda k: F.when((F.col("target") > 0) & (F.struct(finish(k), "rank", "row") <= cut), 1).otherwise(0)
     times = sum((served(k) for k in range(1, max_repeats)), served(0))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as the mix serves them, with their own columns; documents with unique ids."""
+    times = mix_sources(docs, id_col, source_col, text_col).where("times > 0").groupBy(F.col(id_col).alias("_i")).agg(F.max("times").alias("_n"))
+    served = docs.join(times, F.col(id_col).eqNullSafe(F.col("_i")))
+    return served.withColumn("_visit", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def _cut(placed: DataFrame, finish, repeats: int, budget: int) -> Column:
