@@ -96,24 +96,24 @@ def _encoded(blocks: DataFrame, kind: str, top: int) -> tuple[DataFrame, int, in
         return df.join(F.broadcast(numbers), F.col("word") == F.col("w"), "left").withColumn("cls", F.coalesce("own", (F.lit(first) + shared).cast("int"))).drop("w", "own")
 
     sums = {r.cls: (r.n, r.v) for r in classed(counts).groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).where(F.col("cls") >= first).collect()}
-    known = classed(words.select("block", "at", "word").join(counts, "word", "left"))
-    lists = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), "cls"))).alias("k"))
-    lists = lists.select("block", F.col("k.c").alias("c"), F.col("k.cls").alias("cls"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, kinds = np.zeros(first + SHARED), np.zeros(first + SHARED)
-        for k, (a, b) in sums.items():
-            total[k], kinds[k] = a, b
-        for b in batches:
-            for r in b.itertuples(index=False):
-                c, cls, ids = np.asarray(r.c, dtype=np.int64), np.asarray(r.cls), np.frombuffer(r.ids, r.wide)
-                base = np.log10((c + 1) / (n + v + 1))
-                inner = np.where(cls < first, 0.0, np.log10((c + 1) / (total[cls] + kinds[cls] + 1)))
-                at = np.cumsum(r.sizes) - r.sizes
-                yield pd.DataFrame({"names": [r.names], "sizes": [r.sizes], "learn": [r.learn], "cls": [cls[ids].astype("<u2").tobytes()], "base": [np.add.reduceat(base[ids], at)], "inner": [np.add.reduceat(inner[ids], at)], "known": [np.add.reduceat((c > 0)[ids].astype(np.int64), at)]})
-
-    out = blocks.select("block", "names", "sizes", "learn", "wide", "ids").join(lists, "block")
-    out = out.mapInPandas(run, f"names array<{kind}>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>")
+    known = classed(words.select("block", "at", "word").join(counts.hint("shuffle_hash"), "word", "left"))
+    known = known.select(F.col("block").alias("of"), "at", F.coalesce("c", F.lit(0)).alias("c"), "cls")
+    total, kinds = np.zeros(first + SHARED), np.zeros(first + SHARED)
+    for j, (a, b) in sums.items():
+        total[j], kinds[j] = a, b
+
+    def run(block: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        c, cls = np.zeros(len(listed), dtype=np.int64), np.zeros(len(listed), dtype=np.int64)
+        c[listed["at"]], cls[listed["at"]] = listed["c"], listed["cls"]
+        base = np.log10((c + 1) / (n + v + 1))
+        inner = np.where(cls < first, 0.0, np.log10((c + 1) / (total[cls] + kinds[cls] + 1)))
+        r = next(block.itertuples(index=False))
+        ids = np.frombuffer(r.ids, r.wide)
+        at = np.cumsum(r.sizes) - r.sizes
+        return pd.DataFrame({"names": [r.names], "sizes": [r.sizes], "learn": [r.learn], "cls": [cls[ids].astype("<u2").tobytes()], "base": [np.add.reduceat(base[ids], at)], "inner": [np.add.reduceat(inner[ids], at)], "known": [np.add.reduceat((c > 0)[ids].astype(np.int64), at)]})
+
+    schema = f"names array<{kind}>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>"
+    out = blocks.select(F.col("block").alias("number"), "names", "sizes", "learn", "wide", "ids").groupBy("number").cogroup(known.groupBy("of")).applyInPandas(run, schema)
     return stage(out, "hmm-encoded"), int(n), first + SHARED
 
 
