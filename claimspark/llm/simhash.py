@@ -4,7 +4,7 @@ Fingerprints (64 bits) link at 4 or fewer differing bits. Bits 0-30 and 31-61 ar
 block has at most 2, so such a pair has a block midpoint within 1 bit of both. The anchors of a block are the
 codewords of the perfect [31,26] Hamming code, covering radius 1: the midpoint's anchor is within 1 + 1 = 2 bits of
 both. Each fingerprint is replicated to every anchor within covering radius plus that threshold (16 of 2^26 at most),
-the whole fingerprints are compare per anchor, and links become connected components.
+the whole fingerprints are compared per anchor, and links become connected components.
 
 Equal fingerprints are one entry. An anchor with more than ``tile`` entries is dealt out over pairs of chunks, so no
 task holds more than two chunks; a task reports the spanning links of what it compares, never all pairs.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from claimspark.llm.common import connected_components, stage, table
 
+#: Groups up to this size are compared all at once, unless they have more links than members.
+SMALL = 64
 MASK31 = np.uint64((1 << 31) - 1)
 
 
@@ -45,14 +47,27 @@ def shingle_hashes(words: list[bytes], n: int) -> Iterator[np.ndarray]:
         yield np.fromiter((xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[: len(part) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(part) - n + 1)
 
 
+#: The bits of a byte, each in a byte of its own: sums of up to 255 of these keep eight counts in one integer.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[run, 64]: how many hashes of each run have each bit; runs begin at ``starts``, the first at 0."""
+    ends = np.append(starts[1:], len(h))
+    pieces = -(-(ends - starts) // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    lanes = np.stack([np.add.reduceat(_SPREAD[h.view(np.uint8)[i::8]], cuts) for i in range(8)], axis=1)
+    counts = lanes.view(np.uint8).reshape(-1, 64)
+    return np.add.reduceat(counts, first, axis=0, dtype=np.int64) if len(cuts) > len(starts) else counts.astype(np.int64)
+
+
 def fingerprint(text: str | None, n: int = 4) -> int:
     """Bit i is 1 if it is set in over half of the shingle hashes."""
     counts, total = np.zeros(64, dtype=np.int64), 0
     for h in shingle_hashes((text or "").encode(errors="replace").lower().split(), n):
         total += len(h)
-        for at in range(0, len(h), 65536):
-            bits = np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
+        counts += bit_counts(h, np.zeros(1, dtype=np.int64))[0]
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
@@ -141,20 +156,28 @@ def spread(near: DataFrame, tile: int) -> DataFrame:
     return met.select(F.xxhash64("k").alias("k") if "struct" in near.schema["k"].dataType.simpleString() else "k", "fp", F.when(F.col("g") <= 2, 0).otherwise(F.least("c", "o") * 65536 + F.greatest("c", "o")).alias("t"))
 
 
+def whole_tiles(batches: Iterator[pd.DataFrame], *key: str) -> Iterator[pd.DataFrame]:
+    """The rows again, cut only between tiles: rows come sorted by ``key``, and a tile may go on in the next batch."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = np.logical_and.reduce([(b[k] == b[k].iloc[-1]).to_numpy() for k in key])
+        if held and all(held[-1][k].iloc[-1] == b[k].iloc[0] for k in key) and last.all():
+            held.append(b)
+            continue
+        yield pd.concat([*held, b[~last]])
+        held = [b[last]]
+    if held:
+        yield pd.concat(held)
+
+
 def compare_tiles(tiled: DataFrame, most: int) -> DataFrame:
     """(a, b): spanning links inside each (k, t), whole tiles at a time from rows sorted by tile."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:  # a tile may go on in the next batch
-            if not len(b):
-                continue
-            b = b if held is None else pd.concat([held, b])
-            last = (b["k"] == b["k"].iloc[-1]) & (b["t"] == b["t"].iloc[-1])
-            held = b[last]
-            yield from _links_of(b[~last], most)
-        if held is not None:
-            yield from _links_of(held, most)
+        for rows in whole_tiles(batches, "k", "t"):
+            yield from _links_of(rows, most)
 
     return tiled.repartition("k", "t").sortWithinPartitions("k", "t").mapInPandas(compare, "a long, b long")
 
@@ -167,10 +190,23 @@ def _links_of(rows: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
     ends = np.append(np.nonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1]))[0] + 1, len(k))
     starts = np.concatenate([[0], ends[:-1]])
     sizes = ends - starts
-    two = starts[sizes == 2]
-    near = np.bitwise_count(x[two] ^ x[two + 1]) <= most
-    found = [(x[two][near], x[two + 1][near])]
-    found += [spanning_links(x[s:e], most) for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True)]
+    # small groups: all rows against those 1, 2, ... places on, as far as the key lasts
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(k))
+    near_a, near_b = [], []
+    rows_here = np.nonzero((sizes <= SMALL)[group])[0]
+    for step in range(1, SMALL):
+        rows_here = rows_here[left[rows_here] > step]
+        if not len(rows_here):
+            break
+        hit = rows_here[np.bitwise_count(x[rows_here] ^ x[rows_here + step]) <= most]
+        near_a.append(hit)
+        near_b.append(hit + step)
+    hit_a, hit_b = (np.concatenate(n) if n else np.zeros(0, dtype=np.int64) for n in (near_a, near_b))
+    dense = (np.bincount(group[hit_a], minlength=len(sizes)) > sizes) | (sizes > SMALL)
+    few = ~dense[group[hit_a]]
+    found = [(x[hit_a[few]], x[hit_b[few]])]
+    found += [spanning_links(x[s:e], most) for s, e in zip(starts[dense].tolist(), ends[dense].tolist(), strict=True)]
     a, b = (np.concatenate([f[i] for f in found]).astype(np.uint64).view(np.int64) for i in (0, 1))
     if len(a):
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
