@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from claimspark.plans.queries import ORACLE, QUERIES, flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+__all__ = ["ORACLE", "QUERIES", "flagship"]
