@@ -167,9 +167,9 @@ def contact_filter_ranked(t):
     return rows.orderBy(F.desc("c_acctbal"), "c_custkey").limit(200).select("c_custkey", tier.alias("tier"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_all(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), ['part', '7'])")
+@query("SELECT p_partkey FROM part WHERE list_has_all(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), ['red', 'widget'])")
 def fts_and(t):
-    return t("part").where(X.has_all_words(X.tokens(F.col("p_name")), "part 7")).select("p_partkey")
+    return t("part").where(X.has_all_words(X.tokens(F.col("p_name")), "red widget")).select("p_partkey")
 
 
 @query("WITH g AS (SELECT c_custkey, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM customer), q AS (SELECT g AS qg FROM g WHERE c_custkey = (SELECT min(c_custkey) FROM customer)) SELECT c_custkey, len(list_intersect(g, qg)) AS common FROM g, q WHERE len(list_intersect(g, qg))::DOUBLE / len(list_distinct(list_concat(g, qg))) >= 0.3")
