@@ -42,13 +42,12 @@ class Hmm:
     emit: np.ndarray  # [states, classes]
 
 
-def in_training(doc_id) -> bool:
-    return zlib.crc32(("" if pd.isna(doc_id) else str(doc_id)).encode()) % 7 != 2
+def in_training(doc_id: str | None) -> bool:
+    return zlib.crc32((doc_id or "").encode()) % 7 != 2
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each block: its documents, their lengths, tokens as 16-bit numbers, words and their training counts."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names: list = []
@@ -72,17 +71,17 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield row()
                     names, sizes, parts = [], [], []
                     words.clear()
-                names.append(None if pd.isna(i) else i)
+                names.append(i)
                 sizes.append(len(tokens))
                 parts.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
         if names:
             yield row()
 
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"names array<{kind}>, sizes array<int>, learn array<boolean>, wide string, ids binary, words array<binary>, tf array<long>")
+    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "names array<string>, sizes array<int>, learn array<boolean>, wide string, ids binary, words array<binary>, tf array<long>")
     return out.withColumn("block", F.monotonically_increasing_id())
 
 
-def _encoded(blocks: DataFrame, kind: str, top: int) -> tuple[DataFrame, int, int]:
+def _encoded(blocks: DataFrame, top: int) -> tuple[DataFrame, int, int]:
     """(blocks with class numbers and sums of each document, training tokens, classes)."""
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "tf")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.tf").alias("tf"))
     counts = stage(words.where("tf > 0").groupBy("word").agg(F.sum("tf").alias("c")), "hmm-counts")
@@ -112,7 +111,7 @@ def _encoded(blocks: DataFrame, kind: str, top: int) -> tuple[DataFrame, int, in
         at = np.cumsum(r.sizes) - r.sizes
         return pd.DataFrame({"names": [r.names], "sizes": [r.sizes], "learn": [r.learn], "cls": [cls[ids].astype("<u2").tobytes()], "base": [np.add.reduceat(base[ids], at)], "inner": [np.add.reduceat(inner[ids], at)], "known": [np.add.reduceat((c > 0)[ids].astype(np.int64), at)]})
 
-    schema = f"names array<{kind}>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>"
+    schema = "names array<string>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>"
     out = blocks.select(F.col("block").alias("number"), "names", "sizes", "learn", "wide", "ids").groupBy("number").cogroup(known.groupBy("of")).applyInPandas(run, schema)
     return stage(out, "hmm-encoded"), int(n), first + SHARED
 
@@ -261,7 +260,7 @@ def train(encoded: DataFrame, classes: int, states: int = 8, passes: int = 2, wa
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, top: int = 1000, passes: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    encoded, n, classes = _encoded(stage(_blocks(docs, id_col, text_col), "hmm-blocks"), kind, top)
+    encoded, n, classes = _encoded(stage(_blocks(docs, id_col, text_col), "hmm-blocks"), top)
     model = train(encoded, classes, states, passes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,8 +270,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = [x for r in rows for x in r.names]
             yield pd.DataFrame({"i": pd.Series(names, dtype=object), "held_out": ~all_("learn").astype(bool), "n_tokens": all_("sizes").astype(np.int64), "n_known": all_("known"), "train_tokens": n, "base_score": all_("base"), "score": log + all_("inner")})
 
-    out = encoded.mapInPandas(run, f"i {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("i", id_col)
+    out = encoded.mapInPandas(run, "i string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.select(F.col("i").cast(kind).alias(id_col), *[c for c in out.columns if c != "i"])
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
