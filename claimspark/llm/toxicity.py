@@ -13,8 +13,8 @@ null are not fitted on; repeated rows are scored alike; without both kinds of la
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,10 +45,10 @@ class OrdinalModel:
         return [b - a for a, b in zip([0.0, *upto[:-1]], upto, strict=True)]
 
 
-def fit_ordinal(rows: list[list[int]], grade: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list, grade: np.ndarray, n_features: int, n_grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """(w, cuts) of the cumulative-link model by Adam over all rows; rows: feature numbers of each."""
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = np.array([j for x in rows for j in x], dtype=np.int64)
+    c = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows])
     k = n_grades - 1
     share = np.array([(grade <= g).mean() for g in range(k)]).clip(1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
@@ -58,13 +58,13 @@ def fit_ordinal(rows: list[list[int]], grade: np.ndarray, n_features: int, n_gra
     for t in range(1, steps + 1):
         w, gaps = p[:n_features], np.exp(p[n_features + 1 :])
         cuts = p[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = np.bincount(r, weights=w[c], minlength=len(rows))
+        s = np.bincount(r, weights=w[c], minlength=len(grade))
         up = np.where(grade < k, sig(cuts[np.minimum(grade, k - 1)] - s), 1.0)
         low = np.where(grade > 0, sig(cuts[np.maximum(grade - 1, 0)] - s), 0.0)
         like = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / like, low * (1 - low) / like  # of log-likelihood by the upper and lower cut
-        g_w = np.bincount(c, weights=(d_up - d_low)[r], minlength=n_features) / len(rows) + l2 * w
-        g_cut = np.array([d_low[grade == g + 1].sum() - d_up[grade == g].sum() for g in range(k)]) / len(rows)
+        g_w = np.bincount(c, weights=(d_up - d_low)[r], minlength=n_features) / len(grade) + l2 * w
+        g_cut = np.array([d_low[grade == g + 1].sum() - d_up[grade == g].sum() for g in range(k)]) / len(grade)
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([g_w, tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -72,41 +72,52 @@ def fit_ordinal(rows: list[list[int]], grade: np.ndarray, n_features: int, n_gra
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def train(texts: list[str], toxic: np.ndarray, n_features: int = 4096, min_g2: float = 20.0) -> OrdinalModel:
+def train(texts: Iterable[str], toxic: np.ndarray, n_features: int = 4096, min_g2: float = 20.0) -> OrdinalModel:
     """Model from labelled texts: the ``n_features`` words most tied to a label by likelihood ratio, if by ``min_g2`` at
-    least (chance gives 20 to one word in 100,000), then the ordinal fit."""
+    least (chance gives 20 to one word in 100,000), then the ordinal fit. Texts are held as numbers of their words."""
     toxic = np.asarray(toxic, dtype=int)
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     if not n0 or not n1:
         return OrdinalModel()
-    found = [words_of(t) for t in texts]
-    df = [Counter(), Counter()]
-    for words, y in zip(found, toxic, strict=True):
-        df[y].update(words)
-    strength = {}
-    for w in df[0].keys() | df[1].keys():
-        a, b = df[1][w], df[0][w]
-        rate = (a + b) / len(toxic)
-        cells = ((a, n1 * rate), (b, n0 * rate), (n1 - a, n1 * (1 - rate)), (n0 - b, n0 * (1 - rate)))
-        strength[w] = 2 * sum(x * np.log(x / e) for x, e in cells if x)
-    chosen = sorted(sorted(w for w in strength if strength[w] >= min_g2), key=lambda w: -strength[w])[:n_features]
-    cues = {w for w in chosen if df[1][w] / n1 > 8 * df[0][w] / n0}
-    hits = np.array([len(cues & words) for words in found])
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    found = [np.fromiter(map(known.__getitem__, w), dtype=np.int32, count=len(w)) for w in map(words_of, texts)]
+    row, flat = np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
+    del found
+    words = list(known)
+    b, a = (np.bincount(flat[toxic[row] == y], minlength=len(words)).astype(float) for y in (0, 1))
+    rate = (a + b) / len(toxic)
+    cells = ((a, n1 * rate), (b, n0 * rate), (n1 - a, n1 * (1 - rate)), (n0 - b, n0 * (1 - rate)))
+    strength = 2 * sum(x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, e, 1)) for x, e in cells)
+    chosen = sorted(np.nonzero(strength >= min_g2)[0].tolist(), key=lambda i: (-strength[i], words[i]))[:n_features]
+    hits = np.bincount(row[(a / n1 > 8 * b / n0)[flat] & np.isin(flat, chosen)], minlength=len(toxic))
     grade = np.where(toxic == 0, 0, np.where(hits >= 5, 3, np.where(hits >= 2, 2, 1)))
-    number = {w: i for i, w in enumerate(chosen)}
-    w, cuts = fit_ordinal([[number[x] for x in number.keys() & words] for words in found], grade, len(chosen), 4)
-    return OrdinalModel({x: float(w[i]) for x, i in number.items()}, tuple(map(float, cuts)))
+    number = np.full(len(words), -1)
+    number[chosen] = np.arange(len(chosen))
+    use = number[flat] >= 0
+    features = np.split(number[flat[use]], np.cumsum(np.bincount(row[use], minlength=len(toxic)))[:-1])
+    w, cuts = fit_ordinal(features, grade, len(chosen), 4)
+    return OrdinalModel({words[j]: float(w[i]) for i, j in enumerate(chosen)}, tuple(map(float, cuts)))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 8000) -> OrdinalModel:
-    """Fit on at most ``max_train_docs`` labelled rows of ``docs``, those whose ids hash lowest."""
+    """Fit on at most ``max_train_docs`` labelled rows of ``docs``, those whose ids hash lowest. The fit is a task of an
+    executor, run again if that is lost; the driver is sent the model alone, a row of at most ``n_features`` words."""
     picked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).dropDuplicates(["_i"])
     picked = picked.orderBy(F.xxhash64("_i"), "_i").limit(max_train_docs)
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_i").limit(2 * max_train_docs)
-    parts = words_table(rows).toPandas()  # distinct words only: a long text is no larger than its vocabulary
-    parts = parts.sort_values(["_i", "words"])
-    return train(parts["words"].tolist(), parts["_y"].to_numpy())
+    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_i")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(batches)
+        if got:
+            sample = pd.concat(got).sort_values(["_i", "words"])
+            m = train(sample["words"], sample["_y"].to_numpy())
+            yield pd.DataFrame({"words": [list(m.weights)], "weights": [list(m.weights.values())], "cuts": [list(m.cuts)]})
+
+    # distinct words only: a long text is no larger than its vocabulary
+    model = words_table(rows).limit(2 * max_train_docs).mapInPandas(fit, "words array<binary>, weights array<double>, cuts array<double>").first()
+    return OrdinalModel(dict(zip(map(bytes, model.words), model.weights, strict=True)), tuple(model.cuts)) if model else OrdinalModel()
 
 
 def words_table(rows: DataFrame) -> DataFrame:
