@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import text as X
 from claimspark.operators import claims as C
+from claimspark.operators import score as S
 from claimspark.operators.components import merge_components
 
 QUERIES: dict = {}
@@ -266,6 +267,61 @@ def export_projection(t):
     return rows.select(F.col("c_name").alias("Name"), F.coalesce("n_name", F.lit("")).alias("State"), F.coalesce("c_mktsegment", F.lit("")).alias("Segment"))
 
 
+INSTITUTIONS_SQL = """inst AS (SELECT c_custkey AS k, c_nationkey AS nk, n, fee, oldest, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+ LEFT JOIN (SELECT o_custkey, count(*) AS n, max(floor(o_totalprice))::BIGINT AS fee, min(o_orderdate) AS oldest FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+tiers AS (SELECT o_custkey, sum(p) AS points, count(*) AS m FROM (SELECT DISTINCT o_custkey, o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 20 WHEN '2' THEN 16 WHEN '3' THEN 11 WHEN '4' THEN 4 ELSE 0 END AS p FROM orders) GROUP BY 1),
+board AS (SELECT o_custkey, max(CASE o_orderstatus WHEN 'F' THEN 10 WHEN 'O' THEN 12 ELSE 5 END) AS tier FROM orders GROUP BY 1)"""
+
+
+def institutions(t) -> DataFrame:
+    """Customers as institutions: k, nk, n, fee, oldest, n_name, boards, tiers; one aggregation of the orders."""
+    board = F.when(F.col("o_orderstatus") == "F", "CBSE").when(F.col("o_orderstatus") == "O", "CISCE_ISC").otherwise("STATE_X")
+    o = t("orders").groupBy("o_custkey").agg(
+        F.count("*").alias("n"), F.max(F.floor("o_totalprice")).cast("long").alias("fee"), F.min("o_orderdate").alias("oldest"),
+        F.collect_set(board).alias("boards"), F.collect_set(F.substring("o_orderpriority", 1, 1).cast("int")).alias("tiers"),
+    )
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), "n", "fee", "oldest", "n_name", "boards", "tiers")
+
+
+@query(f"""WITH {INSTITUTIONS_SQL},
+h AS (SELECT *, CASE WHEN k % 3 = 0 THEN n * 20 END AS pcm, CASE WHEN k % 3 = 0 THEN n * 20 WHEN k % 3 = 1 THEN round_even(n * 37 * 0.45::DOUBLE, 0)::BIGINT WHEN k % 2 = 0 THEN round_even(n * 211 * 0.06::DOUBLE, 0)::BIGINT END AS head FROM inst),
+p AS (SELECT k, 10 * CASE WHEN fee < 50000 THEN 0 WHEN fee < 100000 THEN 6 WHEN fee < 150000 THEN 15 WHEN fee < 300000 THEN 30 WHEN fee < 600000 THEN 28 WHEN fee < 1000000 THEN 22 WHEN fee >= 1000000 THEN 16 END AS a,
+ CASE WHEN pcm IS NULL THEN 6 ELSE 10 END * CASE WHEN head >= 300 THEN 25 WHEN head >= 200 THEN 22 WHEN head >= 120 THEN 18 WHEN head >= 60 THEN 12 WHEN head >= 25 THEN 6 WHEN head >= 0 THEN 2 END AS b, 10 * tier AS c,
+ 10 * CASE WHEN k % 50 = 0 THEN 15 WHEN nk = 0 THEN 11 WHEN nk = 1 THEN 8 WHEN nk = 2 THEN 12 WHEN nk <> 3 THEN 3 END AS d,
+ 10 * nullif((k % 7 = 0)::INT * 4 + (k % 4 = 0)::INT * 3 + (k % 2 = 0)::INT * 2 + (k % 3 = 0)::INT, 0) AS e,
+ 10 * CASE WHEN k % 6 <> 0 THEN 0 ELSE least(CASE WHEN k % 30 >= 20 THEN 5 WHEN k % 30 >= 5 THEN 3 WHEN k % 30 >= 2 THEN 1 ELSE 0 END, CASE WHEN k % 12 = 0 THEN 1 ELSE 5 END) END AS f FROM h LEFT JOIN board ON o_custkey = k),
+s AS (SELECT k, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0) + coalesce(e, 0) + f AS got, (a IS NOT NULL)::INT * 30 + (b IS NOT NULL)::INT * 25 + (c IS NOT NULL)::INT * 15 + (d IS NOT NULL)::INT * 15 + (e IS NOT NULL)::INT * 10 + 5 AS possible FROM p)
+SELECT k, got / 10.0::DOUBLE AS earned, possible, CASE WHEN possible >= 40 THEN round_even(10 * got / possible::DOUBLE, 1) END AS fit FROM s""")
+def fit_score(t):
+    k, nk, n = F.col("k"), F.col("nk"), F.col("n")
+    head = S.headcount(F.when(k % 3 == 0, n * 20), F.when(k % 3 == 1, n * 37), n * 211, F.when(k % 2 == 1, 6))
+    parts = S.components(
+        fee=F.col("fee"), head=F.col("head"), boards=F.col("boards"), district=F.when(k % 50 == 0, "Bengaluru Urban"),
+        metro=F.when(nk == 0, "Pune").when(nk == 1, "Kochi"), state=F.when(nk == 2, "Karnataka").when(nk != 3, F.col("n_name")),
+        counsellor=k % 7 == 0, principal_fresh=k % 4 == 0, email=k % 2 == 0, phone=k % 3 == 0, campuses=F.when(k % 6 == 0, k % 30), franchise=k % 12 == 0,
+    )
+    return institutions(t).withColumn("head", head).select("k", S.fit(parts).alias("s")).select("k", "s.*")
+
+
+@query(f"""WITH {INSTITUTIONS_SQL} SELECT k, round_even(least(60.0::DOUBLE * ((n IS NOT NULL)::INT * 2 + (k % 3 = 0)::INT + (k % 2 = 0)::INT + (k % 7 = 0)::INT + (k % 2 = 0 OR k % 3 = 0)::INT + (k % 5 = 0)::INT + (k % 4 = 0)::INT) / 8
+ + coalesce(least(points / m::DOUBLE, 20.0), 0) + CASE WHEN mo IS NULL THEN 0 WHEN mo <= 6 THEN 20 WHEN mo <= 12 THEN 12 WHEN mo <= 24 THEN 6 ELSE 0 END, 100), 1) AS confidence
+FROM (SELECT *, date_sub('day', oldest::TIMESTAMP, TIMESTAMP '1996-06-30 12:00:00') / 30.44::DOUBLE AS mo FROM inst) LEFT JOIN tiers ON o_custkey = k""")
+def confidence(t):
+    k, there = F.col("k"), F.col("n").isNotNull()
+    present = [there, there, k % 3 == 0, k % 2 == 0, k % 7 == 0, (k % 2 == 0) | (k % 3 == 0), k % 5 == 0, k % 4 == 0]
+    now = F.lit("1996-06-30 12:00:00").cast("timestamp_ntz")
+    return institutions(t).select("k", S.confidence(present, F.coalesce("tiers", F.array().cast("array<int>")), F.col("oldest").cast("timestamp_ntz"), now).alias("confidence"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'no class 12' WHEN c_acctbal < 0 THEN 'not active' WHEN c_custkey % 11 = 0 THEN 'excluded' WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'no science stream' END AS reason FROM customer")
+def hard_gate(t):
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    streams = F.when(seg == "BUILDING", F.array(F.lit("Arts"), F.lit("PCM"))).when(seg != "MACHINERY", F.array(F.lit("Commerce")))
+    status = F.when(F.col("c_acctbal") < 0, "closed").otherwise("active")
+    return t("customer").select(k.alias("k"), S.gate_reason(F.when(k % 7 != 0, k % 5 != 0), status, F.when(k % 11 == 0, True), streams).alias("reason"))
+
+
 FEES = ("Rs 15,000 / month", "Rs. 1.2 lakh per annum", "2 crore per year", "Rs 60000 p.a.", "45000", "5000 per term", "12,500 quarterly", "1,00,000 annual 9,000 monthly", "", "100 per year", "Rs 36,000 yearly", "3.5 L per annum", "free")
 
 
