@@ -44,7 +44,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     partitioning (row numbers) stay as they were written.
     """
     path = staged_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
