@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimspark.functions import identity as I
 from claimspark.functions import text as X
 from claimspark.operators import claims as C
 from claimspark.operators import score as S
 from claimspark.operators.components import merge_components
+from claimspark.sources import pages as P
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -340,6 +342,61 @@ def match_key(t):
     return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", X.match_key(F.col("name")).alias("key"))
 
 
+def _any_sql(column: str, words: list[str]) -> str:
+    return " OR ".join(f"contains({column}, '{w}')" for w in words)
+
+
+@query("""WITH h AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS l FROM pages)
+SELECT page_id, CASE WHEN len(l) < 2 THEN l[1] WHEN len(l) >= 3 AND l[-2] IN ('co', 'ac', 'edu', 'gov', 'net', 'org', 'res', 'nic', 'com') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM h""")
+def registrable_domain(t):
+    return t("pages").select("page_id", I.registrable_domain(F.col("url")).alias("domain"))
+
+
+@query(f"""WITH b AS (SELECT page_id, coalesce(substr(html, 1, 4096), '') AS head, html FROM pages)
+SELECT page_id, {_any_sql("head", P.INTERSTITIAL_MARKERS)} AS interstitial, {" + ".join(f"coalesce(regexp_matches(html, '(?i){m}'), false)::int" for m in P.PAGE_MARKERS)} >= 2 AS disclosure,
+ regexp_matches(html, '(?i){P.LOGIN_WALL}') AND NOT ({" + ".join(f"coalesce(regexp_matches(html, '(?i){m}'), false)::int" for m in P.PAGE_MARKERS)} >= 2) AS login_wall FROM b""")
+def page_classes(t):
+    h = F.col("html")
+    return t("pages").select("page_id", P.is_interstitial(h).alias("interstitial"), P.is_disclosure_page(h).alias("disclosure"), P.is_login_wall(h).alias("login_wall"))
+
+
+@query()
+def html_links(t):
+    return P.html_links(t("pages"), "page_id", "html", "url").select("page_id", "url", "label")
+
+
+@query()
+def html_tables(t):
+    return P.html_tables(t("pages"), "page_id", "html")
+
+
+@query("""WITH n AS (SELECT c_custkey, ['dr', 'mrs', 'fr'][c_custkey % 3 + 1] || '. ' || c_name AS raw FROM customer)
+SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9_]+', ' ', 'g')) AS person, CASE WHEN c_custkey % 3 = 0 THEN 'vice_principal' WHEN c_custkey % 3 = 1 THEN 'trustee' ELSE 'other' END AS title FROM n JOIN customer USING (c_custkey)""")
+def persons_and_titles(t):
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return t("customer").select("c_custkey", I.normalize_person(F.concat(pick("Dr", "Mrs", "Fr"), F.lit(". "), "c_name")).alias("person"), I.normalize_title(pick("Vice-Principal (Sr)", "Hon. Secretary", "Peon")).alias("title"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, 2000 + o_orderkey % 30 AS y, o_totalprice AS e, o_totalprice * (1 + (o_orderkey % 3) * 0.04) AS a FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN y END::int AS fee_year, coalesce(CASE WHEN e = 0 THEN a = 0 ELSE abs(a - e) / abs(e) <= 0.05 END, false) AS agrees FROM o""")
+def fee_years_and_agreement(t):
+    y = 2000 + F.col("o_orderkey") % 30
+    said = F.concat(F.lit("SESSION"), y, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("-"), y + 1)).otherwise(F.lit(" only")))
+    off = F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 3) * F.lit(0.04).cast("double"))
+    return t("orders").select("o_orderkey", I.fee_year(said).alias("fee_year"), I.values_agree(F.col("o_totalprice"), off, 0.05).alias("agrees"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS k, count(*) AS total FROM customer GROUP BY 1), m AS (SELECT max(total) AS largest FROM s)
+SELECT n_name, total, CASE WHEN n_nationkey % 5 > 0 THEN round((70.0::double + n_nationkey - 68) / 29.5 * 760, 1) END AS x, CASE WHEN n_nationkey % 5 > 0 THEN round((37.5::double - 8 - n_nationkey) / 31.5 * 820, 1) END AS y, round(6 + 34 * sqrt(total / largest), 1) AS radius
+FROM nation JOIN s ON k = n_nationkey CROSS JOIN m""")
+def map_points(t):
+    per = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("total"))
+    per = per.withColumn("largest", F.max("total").over(Window.partitionBy()))  # one row for each state
+    where = t("nation").where("n_nationkey % 5 > 0").select(F.col("n_nationkey").alias("k"), I.map_point(8 + F.col("n_nationkey").cast("double"), 70 + F.col("n_nationkey").cast("double")).alias("at"))
+    rows = t("nation").join(per, F.col("n_nationkey") == F.col("c_nationkey")).join(where, F.col("n_nationkey") == F.col("k"), "left")
+    return rows.select("n_name", "total", "at.x", "at.y", I.bubble_radius(F.col("total"), F.col("largest")).alias("radius"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims resolved to canonical rows, scored by bands, the best three of each state."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

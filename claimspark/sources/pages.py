@@ -43,7 +43,7 @@ def is_login_wall(text: Column) -> Column:
 
 
 class _Reader(HTMLParser):
-    """Tables of rows of cells and links of one page, in document order. Markup that is never closed ends with its parent."""
+    """Tables (outside menus and scripts) of rows of cells, and links, of one page in document order. Markup that is never closed ends with its parent."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -54,6 +54,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in DROPPED:
             self.skip += 1
+        elif tag == "a" and (href := dict(attrs).get("href")) is not None:  # menus have links that count
+            self.href = (href, [])
         elif self.skip:
             return
         elif tag == "table":
@@ -66,8 +68,6 @@ class _Reader(HTMLParser):
         elif tag in ("td", "th") and self.rows and self.open_tables:
             self.cell = []
             self.rows[-1][2].append(self.cell)
-        elif tag == "a" and (href := dict(attrs).get("href")) is not None:
-            self.href = (href, [])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in DROPPED:
@@ -83,11 +83,10 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         text = " ".join(data.split())
-        if text and not self.skip:
-            if self.cell is not None:
-                self.cell.append(text)
-            if self.href:
-                self.href[1].append(text)
+        if text and self.href:
+            self.href[1].append(text)
+        if text and not self.skip and self.cell is not None:
+            self.cell.append(text)
 
 
 def _read(html: str | None) -> _Reader:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import identity as I
 from claimspark.sources import pages as P
 
-PAGE = """<nav><table><tr><td>menu</td></tr></table></nav><table><tr><th>S.No</th><th>Item</th><th>Detail</th></tr><tr><td>1.</td><td>PIN code</td><td>560 001</td></tr></table>
+PAGE = """<nav><a href="/nav/mandatory-public">Menu</a><table><tr><td>menu</td></tr></table></nav><table><tr><th>S.No</th><th>Item</th><th>Detail</th></tr><tr><td>1.</td><td>PIN code</td><td>560 001</td></tr></table>
 <p>x</p><table><tr><td>Tuition <b>Fee</b> Structure<td>1000</tr><tr><td>Student Name</td><td>Marks</td></tr></table>
 <a href="/docs/long-disclosure.pdf">x</a><a href="about">About</a><a href="m">Mandatory list</a><a href="m">Mandatory list</a><a href="mailto:mandatory@x.y">z</a><a href="http://[bad">disclosure</a>"""
 
@@ -45,7 +45,7 @@ def test_tables_links_and_kinds(spark):
     assert kinds == {(1, 0): (False, False, False), (1, 1): (True, False, True), (3, 0): (False, False, False)}
     assert tuple(P.labelled_value(rows, "id", ["pin code"]).first()) == (1, "560 001", "1. PIN code 560 001")
     links = P.disclosure_links(P.html_links(pages, "id", "html", "base"), "id").orderBy("place").collect()
-    assert [r.url for r in links] == ["http://a.in/docs/long-disclosure.pdf", "http://a.in/m"]
+    assert [r.url for r in links] == ["http://a.in/docs/long-disclosure.pdf", "http://a.in/m", "http://a.in/nav/mandatory-public"]
 
 
 def test_page_classes(spark):
