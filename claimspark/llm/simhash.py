@@ -134,6 +134,8 @@ def spanning_links(fps: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarr
 
 def links(fps: DataFrame, most: int = 4, tile: int = 8192) -> DataFrame:
     """(a, b): spanning links among the distinct long column ``fp`` at ``most`` (4 or fewer) differing bits."""
+    if most > 4:
+        raise ValueError(f"the anchors cover 4 differing bits, not {most}")
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,13 +227,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with their own columns; of repeated ids one row stays."""
-    stay = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
-    stay = stay.select(F.col(id_col).alias("_i")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_i")), "left_semi").dropDuplicates([id_col])
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
