@@ -146,6 +146,11 @@ def merge_decisions(t):
     return merge_components(pairs, "a", "b")
 
 
+@query()  # all orders: the recursive SQL of merge_decisions is too slow for them, so a union-find in the tests holds it
+def merge_decisions_all(t):
+    return merge_components(t("orders").selectExpr("o_custkey AS a", "o_custkey + 1 + o_orderkey % 3 AS b"), "a", "b")
+
+
 @query("WITH v(id, entity, field, value, expired) AS (VALUES (1, 5, 'c_mktsegment', 'X', false), (2, 5, 'c_mktsegment', 'Y', false), (3, 7, 'c_name', 'Z', true), (4, 9, 'c_name', 'N', false)) SELECT c_custkey, coalesce((SELECT arg_max(value, id) FROM v WHERE entity = c_custkey AND field = 'c_name' AND NOT expired), c_name) AS c_name, coalesce((SELECT arg_max(value, id) FROM v WHERE entity = c_custkey AND field = 'c_mktsegment' AND NOT expired), c_mktsegment) AS c_mktsegment FROM customer")
 def overrides_last(t):
     rows = t("customer").select("c_custkey", "c_name", "c_mktsegment")
