@@ -204,7 +204,8 @@ def _deny_sql() -> str:
 
 @query(_deny_sql())
 def denylist(t):
-    return t("pages").select("page_id", X.denied_by(F.concat_ws(" ", "url", F.substring("html", 1, 400))).alias("pattern"))
+    # the whole url and nothing else, as fetch/denylist.py has it: patterns are never to run over page text
+    return t("pages").select("page_id", X.denied_by(F.col("url")).alias("pattern"))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_seen, count(*) AS copies FROM documents GROUP BY 1")

@@ -16,3 +16,10 @@ def test_merges_of_all_orders_against_union_find(spark, tmp_path):
         root[max(a, b)] = min(a, b)
     got = e.queries()["merge_decisions_all"](spark, str(tmp_path))
     assert {r.key: r.primary for r in got.collect()} == {x: find(x) for x in root}
+
+
+def test_denylist_reads_the_whole_url_and_no_page_text(spark, tmp_path):
+    rows = [(1, "http://a.org/" + "x" * 500 + "/Toppers", "fine"), (2, "http://a.org/fees", "C: RESULT AND ACADEMICS"), (3, "http://a.org/award", None), (4, None, "merit")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.pattern for r in e.queries()["denylist"](spark, str(tmp_path)).collect()}
+    assert got == {1: "topper", 2: None, 3: "award", 4: None}
