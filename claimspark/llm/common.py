@@ -45,7 +45,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = staged_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove tables of ``stage`` that no later plan reads."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t._staged_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,6 +64,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever its case rules; one for each of ``names``."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in there:
+            n = "_" + n
+        out.append(n)
+        there.add(n.lower())
+    return out
+
+
 def parts_for(df: DataFrame, rows_each: int) -> int:
     """Groups of about ``rows_each`` rows that ``df`` needs; one at least."""
     return max(1, -(-df.count() // rows_each))
@@ -74,7 +97,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), "cc")
+        last, e = e, stage(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), "cc")
+        drop_staged(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
