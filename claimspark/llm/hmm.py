@@ -5,20 +5,19 @@ A word is emitted in two steps: the latent state emits its class, the class emit
 of their last two bytes, where a word has (c + 1) / (N_k + V_k + 1), unseen words of the class together one share. So
 the state tables are bounded however large the vocabulary grows, while counts cover every training token.
 
-One pass cuts the texts into blocks (documents as numbers into the block's own word list) and counts words block by
-block; counts meet the words by a join. Baum-Welch: each task adds up expected counts over its blocks by exact
-forward-backward, Spark sums them by cell. A warm start on at most ``warm_tokens`` tokens of the blocks with the lowest
-hash only sets where the passes over all training documents begin. Scores are exact: the scaled forward recursion
-over the whole sequence.
+One pass counts words. A second writes the texts as class numbers; the commonest words' counts (``lexicon_words``) are
+with each task, all others are joined. Counts of neighbouring classes over all training documents give the model that
+Baum-Welch begins with: each task adds up expected counts over its blocks by exact forward-backward, Spark sums them by
+cell. Scores are exact: the scaled forward recursion over the whole sequence.
 
 Null text counts as empty (its end token alone). A null id counts as the empty string in the split. Repeated rows are
-scored each. An empty table gives an empty result.
+scored each, and columns but id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +29,9 @@ from pyspark.sql import functions as F
 from claimspark.llm.common import stage, table
 
 END = b""  # no word is empty
-BLOCK_WORDS = 65_000  # distinct words of a block, so 16 bits number them
+BLOCK_WORDS = 200_000  # distinct words that a task keeps at hand
 BLOCK_TOKENS = 1_000_000
-SHARED = 256  # classes of rarer words
+BEFORE = 256  # classes told apart as the one before, when the model to begin with is made
 
 
 @dataclass
@@ -46,74 +45,138 @@ def in_training(doc_id: str | None) -> bool:
     return zlib.crc32((doc_id or "").encode()) % 7 != 2
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each block: its documents, their lengths, tokens as 16-bit numbers, words and their training counts."""
+def _tokens(text: str | None) -> list[bytes]:
+    return [*(text or "").encode(errors="replace").lower().split(), END]
+
+
+def word_counts(docs: DataFrame, id_col: str, text_col: str, most: int = 300_000) -> DataFrame:
+    """(word, c) of the training tokens; words are added up in the task first, ``most`` different ones at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[bytes] = Counter()
+        row = lambda: pd.DataFrame({"word": list(held), "c": list(held.values())})
+        for b in batches:
+            for i, t in zip(b["i"], b["t"], strict=True):
+                if in_training(i):
+                    held.update(_tokens(t))
+                    if len(held) > most:
+                        yield row()
+                        held.clear()
+        if held:
+            yield row()
+
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "word binary, c long")
+    return rows.groupBy("word").agg(F.sum("c").alias("c"))
+
+
+@dataclass
+class Lexicon:
+    """What a task needs of the counts: the commonest words, and sums of the classes that rarer ones share."""
+
+    tokens: int
+    words: int
+    own: dict[bytes, int]  # classes of single words
+    counts: dict[bytes, int]  # of the commonest words; all words, if there are no more
+    whole: bool
+    total: np.ndarray  # training tokens of each class
+    kinds: np.ndarray  # words of each class
+    shared: int
+
+    @property
+    def classes(self) -> int:
+        return len(self.total)
+
+    def class_of(self, word: bytes) -> int:
+        return self.own[word] if word in self.own else len(self.own) + zlib.crc32(word[-2:]) % self.shared
+
+
+def lexicon_of(counts: DataFrame, top: int, shared: int, most: int) -> Lexicon:
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    common = {bytes(r.word): r.c for r in counts.orderBy(F.length("word") > 0, F.desc("c"), "word").limit(most).collect()}  # the end, then ``most`` - 1 words
+    own = {w: i for i, w in enumerate([END, *[w for w in common if w != END][:top]])}  # ``most`` above ``top``
+    of = F.crc32(F.expr("CASE WHEN length(word) > 2 THEN substring(word, length(word) - 1, 2) ELSE word END")) % shared
+    sums = {r.k: (r.n, r.v) for r in counts.groupBy(of.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # ``shared`` rows
+    total, kinds = np.zeros(len(own) + shared), np.zeros(len(own) + shared)
+    for k, (a, b) in sums.items():
+        total[len(own) + k], kinds[len(own) + k] = a, b
+    for w, i in own.items():
+        c, k = common.get(w, 0), len(own) + zlib.crc32(w[-2:]) % shared
+        total[i] = c
+        if c:
+            total[k], kinds[k] = total[k] - c, kinds[k] - 1
+    return Lexicon(int(n), int(v), own, common, v <= most, total, kinds, shared)
+
+
+ENCODED = (
+    "names array<string>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>, "
+    "rare array<struct<at:int,word:binary,n:long,k:int>>"
+)
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, lexicon: Lexicon) -> DataFrame:
+    """Blocks of documents as class numbers, with sums over the words of the lexicon for each document; ``rare`` has the other words of
+    document ``at``, whose counts are to be looked up. One pass, no shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[bytes, int] = {}
+        cls, base, inner, state = [], [], [], []  # by number of a word; state: 1 known, 0 unknown, 2 to be looked up
+        wide = lexicon.tokens + lexicon.words + 1
+
+        def number(word: bytes) -> int:
+            k, c = lexicon.class_of(word), lexicon.counts.get(word, 0)
+            look_up = not c and not lexicon.whole
+            cls.append(k)
+            state.append(2 if look_up else int(c > 0))
+            base.append(0.0 if look_up else np.log10((c + 1) / wide))
+            inner.append(0.0 if look_up or k < len(lexicon.own) else np.log10((c + 1) / (lexicon.total[k] + lexicon.kinds[k] + 1)))
+            seen[word] = len(cls) - 1
+            return len(cls) - 1
+
         names: list = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
-        words: defaultdict[bytes, int] = defaultdict()
-        words.default_factory = words.__len__
 
         def row() -> pd.DataFrame:
             ids = np.concatenate(parts)
-            learn = np.array([in_training(i) for i in names])
-            tf = np.bincount(ids[np.repeat(learn, sizes)], minlength=len(words))
-            wide = "<u2" if len(words) <= 65536 else "<u4"
-            return pd.DataFrame({"names": [names], "sizes": [sizes], "learn": [learn.tolist()], "wide": [wide], "ids": [ids.astype(wide).tobytes()], "words": [list(words)], "tf": [tf.tolist()]})
+            at = np.cumsum(sizes) - sizes
+            kind = np.array(state, dtype=np.int64)[ids]
+            odd = np.nonzero(kind == 2)[0]
+            pairs = Counter(zip(np.repeat(np.arange(len(sizes)), sizes)[odd].tolist(), ids[odd].tolist(), strict=True))
+            by_number = list(seen)
+            rare = [(d, by_number[w], n, cls[w]) for (d, w), n in pairs.items()]
+            sums = lambda values: np.add.reduceat(np.array(values, dtype=float)[ids], at)
+            return pd.DataFrame({
+                "names": [names], "sizes": [sizes], "learn": [[in_training(i) for i in names]], "cls": [np.array(cls, dtype="<u2")[ids].tobytes()],
+                "base": [sums(base)], "inner": [sums(inner)], "known": [np.add.reduceat((kind == 1).astype(np.int64), at)], "rare": [rare],
+            })
 
         for b in batches:
             for i, t in zip(b["i"], b["t"], strict=True):
-                tokens = (t or "").encode(errors="replace").lower().split()
-                tokens.append(END)
-                if names and (len(words) >= BLOCK_WORDS or sum(map(len, parts)) + len(tokens) > BLOCK_TOKENS or len(words) + len(tokens) // 8 > BLOCK_WORDS + 500):
+                tokens = _tokens(t)
+                if names and (len(seen) > BLOCK_WORDS or sum(sizes) + len(tokens) > BLOCK_TOKENS):
                     yield row()
                     names, sizes, parts = [], [], []
-                    words.clear()
+                    if len(seen) > BLOCK_WORDS:
+                        seen.clear()
+                        for x in (cls, base, inner, state):
+                            x.clear()
                 names.append(i)
                 sizes.append(len(tokens))
-                parts.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
+                parts.append(np.fromiter((seen[w] if w in seen else number(w) for w in tokens), dtype=np.int64, count=len(tokens)))
         if names:
             yield row()
 
-    out = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "names array<string>, sizes array<int>, learn array<boolean>, wide string, ids binary, words array<binary>, tf array<long>")
-    return out.withColumn("block", F.monotonically_increasing_id())
+    return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, ENCODED).withColumn("block", F.monotonically_increasing_id())
 
 
-def _encoded(blocks: DataFrame, top: int) -> tuple[DataFrame, int, int]:
-    """(blocks with class numbers and sums of each document, training tokens, classes)."""
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "tf")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.tf").alias("tf"))
-    counts = stage(words.where("tf > 0").groupBy("word").agg(F.sum("tf").alias("c")), "hmm-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    own = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(top).collect()
-    numbers = blocks.sparkSession.createDataFrame([(bytes(END), 0), *((bytes(r.word), i + 1) for i, r in enumerate(own))], "w binary, own int")
-    first = len(own) + 1
-
-    def classed(df: DataFrame) -> DataFrame:
-        shared = F.crc32(F.when(F.length("word") > 2, F.expr("substring(word, length(word) - 1, 2)")).otherwise(F.col("word"))) % SHARED
-        return df.join(F.broadcast(numbers), F.col("word") == F.col("w"), "left").withColumn("cls", F.coalesce("own", (F.lit(first) + shared).cast("int"))).drop("w", "own")
-
-    sums = {r.cls: (r.n, r.v) for r in classed(counts).groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).where(F.col("cls") >= first).collect()}
-    known = classed(words.select("block", "at", "word").join(counts.hint("shuffle_hash"), "word", "left"))
-    known = known.select(F.col("block").alias("of"), "at", F.coalesce("c", F.lit(0)).alias("c"), "cls")
-    total, kinds = np.zeros(first + SHARED), np.zeros(first + SHARED)
-    for j, (a, b) in sums.items():
-        total[j], kinds[j] = a, b
-
-    def run(block: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        c, cls = np.zeros(len(listed), dtype=np.int64), np.zeros(len(listed), dtype=np.int64)
-        c[listed["at"]], cls[listed["at"]] = listed["c"], listed["cls"]
-        base = np.log10((c + 1) / (n + v + 1))
-        inner = np.where(cls < first, 0.0, np.log10((c + 1) / (total[cls] + kinds[cls] + 1)))
-        r = next(block.itertuples(index=False))
-        ids = np.frombuffer(r.ids, r.wide)
-        at = np.cumsum(r.sizes) - r.sizes
-        return pd.DataFrame({"names": [r.names], "sizes": [r.sizes], "learn": [r.learn], "cls": [cls[ids].astype("<u2").tobytes()], "base": [np.add.reduceat(base[ids], at)], "inner": [np.add.reduceat(inner[ids], at)], "known": [np.add.reduceat((c > 0)[ids].astype(np.int64), at)]})
-
-    schema = "names array<string>, sizes array<int>, learn array<boolean>, cls binary, base array<double>, inner array<double>, known array<long>"
-    out = blocks.select(F.col("block").alias("number"), "names", "sizes", "learn", "wide", "ids").groupBy("number").cogroup(known.groupBy("of")).applyInPandas(run, schema)
-    return stage(out, "hmm-encoded"), int(n), first + SHARED
+def rare_sums(blocks: DataFrame, counts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(block, at, base, inner, known): what the words outside the lexicon add to each document."""
+    spark = blocks.sparkSession
+    shares = spark.createDataFrame([(k, float(a + b + 1)) for k, (a, b) in enumerate(zip(lexicon.total, lexicon.kinds, strict=True))], "k int, share double")
+    rare = blocks.select("block", F.explode("rare").alias("r")).select("block", "r.*").join(counts, "word", "left").join(F.broadcast(shares), "k")
+    c = F.coalesce("c", F.lit(0))
+    base = F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(lexicon.tokens + lexicon.words + 1))))
+    return rare.groupBy("block", "at").agg(base.alias("r_base"), F.sum(F.col("n") * F.log10((c + 1) / F.col("share"))).alias("r_inner"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("r_known"))
 
 
 def _by_length(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,50 +263,62 @@ def _grouped(batches: Iterator[pd.DataFrame], most: int = 1_500_000) -> Iterator
         yield held
 
 
-def train(encoded: DataFrame, classes: int, states: int = 8, passes: int = 2, warm_tokens: int = 1_000_000, warm_passes: int = 12, seed: int = 3) -> Hmm:
-    """Baum-Welch: ``passes`` over every training document, begun from a warm start."""
-    cells = states + states * states + states * classes + 1
-
-    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = np.zeros(classes)
-        for b in batches:
-            for r in b.itertuples(index=False):
-                for s in _sequences(r, True):
-                    tally += np.bincount(s, minlength=classes)
-        yield pd.DataFrame({"cell": np.nonzero(tally)[0], "n": tally[tally > 0]})
+def _summed(df: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for r in df.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row for each cell of the tables
+        out[r.cell] = r.n
+    return out
 
-    def summed(df: DataFrame, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        for r in df.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row for each cell of the tables
-            out[r.cell] = r.n
-        return out
 
-    uses = encoded.select("sizes", "learn", "cls")
-    unigram = summed(uses.mapInPandas(histogram, "cell long, n double"), classes) + 1.0
-    unigram /= unigram.sum()
+def beginning(pairs: np.ndarray, states: int, unigram: np.ndarray, rounds: int = 60, seed: int = 3) -> Hmm:
+    """A model to begin with: P(next class | class before) as a mixture over states, by EM on counts of neighbours [before, next]; the
+    last row is that of all rarer classes."""
     rng = np.random.default_rng(seed)
-    counts = np.concatenate([np.ones(states), (np.eye(states) * 8 + 1).ravel() * 100, (1000 * unigram * rng.gamma(1.0, size=(states, classes))).ravel()])
-    model = maximised(counts, states, classes, unigram)
+    classes, rows = len(unigram), len(pairs)
+    before = np.append(unigram[: rows - 1], unigram[rows - 1 :].sum())
+    seen = pairs + 1e-3 * pairs.sum() * np.outer(before, unigram) + 1e-9  # no class without a neighbour
+    to = rng.gamma(1.0, size=(rows, states)) + 0.5  # P(state | class before)
+    to /= to.sum(1, keepdims=True)
+    emit = unigram * (rng.gamma(1.0, size=(states, classes)) + 0.5)
+    emit /= emit.sum(1, keepdims=True)
+    for _ in range(rounds):
+        ratio = seen / (to @ emit + 1e-300)
+        new_to, emit = to * (ratio @ emit.T), emit * (to.T @ ratio)
+        to, emit = new_to / new_to.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+    move = emit @ to[np.minimum(np.arange(classes), rows - 1)] + 1e-3
+    return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), 0.99 * emit + 0.01 * unigram)
+
+
+def train(blocks: DataFrame, lexicon: Lexicon, states: int = 8, passes: int = 4) -> Hmm:
+    """Baum-Welch: ``passes`` over every training document. The model that it starts from is made of counts over all of them too, so
+    neither the layout of the table nor a sample of it plays a part."""
+    classes = lexicon.classes
+    cells = states + states * states + states * classes + 1
+    uses = blocks.select("sizes", "learn", "cls")
+    unigram = lexicon.total + 1.0
+    unigram /= unigram.sum()
 
-    block = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
-    warm = uses.select("sizes", "learn", "cls", F.xxhash64("cls").alias("h"), block.alias("n")).where(F.exists("learn", lambda x: x)).orderBy("h").limit(max(1, -(-warm_tokens // BLOCK_TOKENS)))
+    first = min(BEFORE, classes)
 
-    def warm_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seqs: list[np.ndarray] = []
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = np.zeros(first * classes, dtype=np.int64)
         for b in batches:
             for r in b.itertuples(index=False):
-                seqs += _sequences(r, True)
-        if not seqs:
-            return
-        m = model
-        for _ in range(warm_passes):
-            got = expected(m, seqs)
-            m = maximised(got, states, classes, unigram)
-        yield pd.DataFrame({"cell": np.arange(cells), "n": got})
-
-    warmed = summed(warm.coalesce(1).mapInPandas(warm_up, "cell long, n double"), cells)
-    if warmed.any():
-        model = maximised(warmed, states, classes, unigram)
+                if seqs := _sequences(r, True):
+                    flat = np.concatenate(seqs)
+                    inside = np.ones(len(flat), dtype=bool)
+                    inside[np.cumsum([len(x) for x in seqs]) - 1] = False
+                    at = np.nonzero(inside)[0]
+                    tally += np.bincount(np.minimum(flat[at], first - 1) * classes + flat[at + 1], minlength=len(tally))
+        yield pd.DataFrame({"cell": np.nonzero(tally)[0], "n": tally[tally > 0]})
+
+    sums = uses.mapInPandas(neighbours, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy(F.expr(f"cell div {classes}").alias("before")).agg(F.collect_list(F.struct("cell", "n")).alias("all"))  # ``first`` rows
+    pairs = np.zeros(first * classes)
+    for r in rows.toLocalIterator():
+        got = np.array([tuple(x) for x in r["all"]], dtype=np.int64)
+        pairs[got[:, 0]] = got[:, 1]
+    model = beginning(pairs.reshape(first, classes), states, unigram)
     for _ in range(passes):
 
         def count(batches: Iterator[pd.DataFrame], m: Hmm = model) -> Iterator[pd.DataFrame]:
@@ -253,25 +328,37 @@ def train(encoded: DataFrame, classes: int, states: int = 8, passes: int = 2, wa
                     total += expected(m, seqs)
             yield pd.DataFrame({"cell": np.nonzero(total)[0], "n": total[total != 0]})
 
-        model = maximised(summed(uses.mapInPandas(count, "cell long, n double"), cells), states, classes, unigram)
+        model = maximised(_summed(uses.mapInPandas(count, "cell long, n double"), cells), states, classes, unigram)
     return model
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, top: int = 1000, passes: int = 2) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, top: int = 1000, shared: int = 256, passes: int = 4, lexicon_words: int = 200_000) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+
+    top: words with a class of their own; shared: classes of all others. Both bound the latent tables whatever the corpus: a rarer word
+    has the context of its class alone. lexicon_words: how many counts go to every task; the others are joined.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    encoded, n, classes = _encoded(stage(_blocks(docs, id_col, text_col), "hmm-blocks"), top)
-    model = train(encoded, classes, states, passes)
+    counts = stage(word_counts(docs, id_col, text_col), "hmm-counts")
+    lexicon = lexicon_of(counts, top, shared, lexicon_words)
+    blocks = stage(encoded(docs, id_col, text_col, lexicon), "hmm-blocks")
+    model = train(blocks, lexicon, states, passes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _grouped(batches):
             log = forward(model, [s for r in rows for s in _sequences(r, False)]) / np.log(10)
             all_ = lambda name: np.concatenate([getattr(r, name) for r in rows])  # noqa: E731, B023
-            names = [x for r in rows for x in r.names]
-            yield pd.DataFrame({"i": pd.Series(names, dtype=object), "held_out": ~all_("learn").astype(bool), "n_tokens": all_("sizes").astype(np.int64), "n_known": all_("known"), "train_tokens": n, "base_score": all_("base"), "score": log + all_("inner")})
-
-    out = encoded.mapInPandas(run, "i string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.select(F.col("i").cast(kind).alias(id_col), *[c for c in out.columns if c != "i"])
+            sizes = [len(r.sizes) for r in rows]
+            yield pd.DataFrame({
+                "block": np.repeat([r.block for r in rows], sizes), "at": np.concatenate([np.arange(n) for n in sizes]).astype(np.int32), "i": pd.Series([x for r in rows for x in r.names], dtype=object),
+                "held_out": ~all_("learn").astype(bool), "n_tokens": all_("sizes").astype(np.int64), "n_known": all_("known"), "base_score": all_("base"), "score": log + all_("inner"),
+            })
+
+    out = blocks.drop("rare").mapInPandas(run, "block long, at int, i string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    if not lexicon.whole:
+        none = lambda c: F.coalesce(c, F.lit(0))
+        out = out.join(rare_sums(blocks, counts, lexicon), ["block", "at"], "left").withColumns({"n_known": F.col("n_known") + none("r_known"), "base_score": F.col("base_score") + none("r_base"), "score": F.col("score") + none("r_inner")})
+    return out.select(F.col("i").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(lexicon.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,42 @@ def test_hmm_scores(docs):
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def hmm_scores(docs, **more):
+    got = hmm.score_texts(docs, states=2, top=5, shared=4, passes=2, **more).collect()
+    return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got)
+
+
+def test_hmm_scores_do_not_depend_on_layout_or_lexicon(docs):
+    want = hmm_scores(docs.repartition(1))
+    assert hmm_scores(docs.repartition(7)) == want
+    assert hmm_scores(docs, lexicon_words=6) == want
+
+
+def test_hmm_score_is_that_of_a_slow_forward_pass(docs):
+    counts = hmm.word_counts(docs, "doc_id", "text")
+    lexicon = hmm.lexicon_of(counts, 5, 4, 1000)
+    blocks = hmm.encoded(docs, "doc_id", "text", lexicon)
+    model = hmm.train(blocks, lexicon, 2, 2)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    groups = {}
+    for w in c:
+        groups.setdefault(lexicon.class_of(w), []).append(w)
+    got = {str(r.doc_id): r.score for r in hmm.score_texts(docs, states=2, top=5, shared=4, passes=2).collect()}
+    for i, t in documents()[:12]:
+        tokens = [*(w.encode() for w in words(t)), b""]
+        a, total = None, 0.0
+        for w in tokens:
+            k = lexicon.class_of(w)
+            inside = groups.get(k, [])
+            share = 1.0 if k < len(lexicon.own) else (c.get(w, 0) + 1) / (sum(c[x] for x in inside) + len(inside) + 1)
+            e = model.emit[:, k] * share
+            a = [(model.start[s] if a is None else sum(a[q] * model.move[q, s] for q in range(2))) * e[s] for s in range(2)]
+            z = sum(a)
+            total += np.log10(z)
+            a = [x / z for x in a]
+        assert abs(got[str(i)] - total) < 1e-6 * max(1.0, abs(total))
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))
