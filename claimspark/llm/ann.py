@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards by hash. In a shard, greedy beam searches from a central vector propose neighbours of
 each vector; relaxed distance pruning (``alpha``) keeps diverse edges, ``degree`` at most; reverse edges are pruned the
-same way. Queries are beam-searched in every shard, in blocks, and the best of all shards stay, their distances
+same way. Nodes that no path leads to are compared outright. Queries are beam-searched in every shard, in blocks of
+``block_queries`` that an index travels to, and the best of all shards stay, the distances of all that a search met
 measured anew in double precision.
 
 Equal vectors are one node with their smallest ids, k + 1 of them: no other id can be among the k nearest, as ties go
@@ -102,22 +103,46 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
         src, dst = src[dst < n], dst[dst < n]
         by = np.argsort(dst, kind="stable")
         src, dst = src[by], dst[by]
-        to, first, many = np.unique(dst, return_index=True, return_counts=True)
-        for part in range(0, len(to), 2048):
-            t, f, m = to[part : part + 2048], first[part : part + 2048], np.minimum(many[part : part + 2048], 2 * degree)
-            more = np.full((len(t), int(m.max())), -1, dtype=np.int64)
-            fill = np.arange(more.shape[1]) < m[:, None]
-            more[fill] = src[(f[:, None] + np.arange(more.shape[1]))[fill]]
-            both = np.concatenate([np.where(graph[t] < n, graph[t], -1), more], axis=1)
-            free = (both >= 0).sum(1) <= degree
-            packed = -np.sort(-both[free], axis=1)[:, :degree]
-            packed[:, 1:][packed[:, 1:] == packed[:, :-1]] = -1
-            graph[t[free]] = np.where(packed < 0, n, packed)
-            if (~free).any():
-                graph[t[~free]] = robust_prune(x, t[~free], both[~free], degree, alpha)
+        while len(dst):  # all proposals of a node, ``2 * degree`` at a time
+            to, first, many = np.unique(dst, return_index=True, return_counts=True)
+            rank = np.arange(len(dst)) - np.repeat(first, many)
+            now = rank < 2 * degree
+            _add_edges(x, graph, to, src[now], dst[now], degree, alpha)
+            src, dst = src[~now], dst[~now]
     return graph, entry
 
 
+def _add_edges(x: np.ndarray, graph: np.ndarray, to: np.ndarray, src: np.ndarray, dst: np.ndarray, degree: int, alpha: float) -> None:
+    """Edges from each of ``to`` (those of sorted ``dst``) to its ``src``, pruned where there are too many."""
+    n = len(x)
+    first, end = np.searchsorted(dst, to), np.searchsorted(dst, to, side="right")
+    for part in range(0, len(to), 2048):
+        t, f, m = to[part : part + 2048], first[part : part + 2048], (end - first)[part : part + 2048]
+        more = np.full((len(t), int(m.max())), -1, dtype=np.int64)
+        fill = np.arange(more.shape[1]) < m[:, None]
+        more[fill] = src[(f[:, None] + np.arange(more.shape[1]))[fill]]
+        both = np.concatenate([np.where(graph[t] < n, graph[t], -1), more], axis=1)
+        free = (both >= 0).sum(1) <= degree
+        packed = -np.sort(-both[free], axis=1)[:, :degree]
+        packed[:, 1:][packed[:, 1:] == packed[:, :-1]] = -1
+        graph[t[free]] = np.where(packed < 0, n, packed)
+        if (~free).any():
+            graph[t[~free]] = robust_prune(x, t[~free], both[~free], degree, alpha)
+
+
+def strays(graph: np.ndarray, entry: int) -> np.ndarray:
+    """The nodes that no path leads to from the entry; a search compares them outright."""
+    n = len(graph) - 1
+    met = np.zeros(n + 1, dtype=bool)
+    met[n] = met[entry] = True
+    edge = np.array([entry])
+    while len(edge):
+        edge = np.unique(graph[edge])
+        edge = edge[~met[edge]]
+        met[edge] = True
+    return np.nonzero(~met)[0]
+
+
 def usable(v) -> F.Column:
     """True of a vector that takes part."""
     v = v.cast("array<double>")
@@ -125,7 +150,7 @@ def usable(v) -> F.Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda e: e != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = 4000, degree: int = 32, beam: int = 96, alpha: float = 1.2, block_queries: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = 4000, degree: int = 32, beam: int = 96, alpha: float = 1.2, block_queries: int = 8192, at_once: int = 512) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each row of ``queries``, but for itself."""
     v, q = ((d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).dropDuplicates(["id", "v"])) for d in (vectors, queries))
     ranked = v.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -157,19 +182,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             for r in batch.itertuples(index=False):
                 exact = np.frombuffer(r.v, "<f8").reshape(r.n, r.dim)
                 x = exact.astype(np.float32)
-                qid, qv = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.qv, "<f8").reshape(-1, r.dim)
+                qids, qvs = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.qv, "<f8").reshape(-1, r.dim)
                 many = np.frombuffer(r.many, "<i4").astype(np.int64)
                 ids, first = np.frombuffer(r.ids, "<i8"), np.cumsum(many) - many
                 graph = np.frombuffer(r.graph, "<i4").reshape(r.n + 1, -1).astype(np.int64)
-                found, _ = beam_search(x, (x * x).sum(1), graph, r.entry, qv.astype(np.float32), beam)
-                found = found[:, : 3 * k + 3]
-                score = np.sqrt(((exact[np.maximum(found, 0)] - qv[:, None]) ** 2).sum(2))
-                of, node = np.nonzero(found >= 0)[0], found[found >= 0]
-                times = many[node]
-                vec = ids[np.repeat(first[node] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-                out = pd.DataFrame({"query_id": np.repeat(qid[of], times), "vec_id": vec, "score": np.repeat(score[found >= 0], times)})
-                out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"])
-                yield out.groupby("query_id", sort=False).head(k)
+                norms, lost = (x * x).sum(1), strays(graph, r.entry)
+                for part in range(0, len(qids), at_once):
+                    qid, qv = qids[part : part + at_once], qvs[part : part + at_once]
+                    found, _ = beam_search(x, norms, graph, r.entry, qv.astype(np.float32), beam)
+                    found = np.concatenate([found, np.broadcast_to(lost, (len(found), len(lost)))], axis=1)
+                    score = np.sqrt(((exact[np.maximum(found, 0)] - qv[:, None]) ** 2).sum(2))
+                    of, node = np.nonzero(found >= 0)[0], found[found >= 0]
+                    times = many[node]
+                    vec = ids[np.repeat(first[node] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                    out = pd.DataFrame({"query_id": np.repeat(qid[of], times), "vec_id": vec, "score": np.repeat(score[found >= 0], times)})
+                    out = out[out["query_id"] != out["vec_id"]].sort_values(["query_id", "score", "vec_id"])
+                    yield out.groupby("query_id", sort=False).head(k)
 
     hits = work.mapInPandas(search, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import ascii_lower, stage, staged_path, table
+from claimspark.llm.common import ascii_lower, fresh, stage, staged_path, table
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -91,10 +91,11 @@ def _by_bytes(docs: DataFrame, clash: DataFrame, id_col: str, norm) -> DataFrame
 
 
 def keep_first_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    held = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_digest"))
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(F.col(text_col)), 256)).join(held, F.col("_sha").eqNullSafe(F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id")))
-    return rows.dropDuplicates(["_sha", id_col]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns whatever their names; of rows equal in id and text one stays."""
+    sha, digest, keep = fresh(docs, "sha", "digest", "keep")
+    held = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(keep), F.col("text_sha256").alias(digest))
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.col(text_col)), 256)).join(held, F.col(sha).eqNullSafe(F.col(digest)) & F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    return rows.dropDuplicates([sha, id_col]).select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+#: Of tokens, documents and attention cost in the residual norm or dot product; a bin open in tokens alone is a waste of sequence.
+WEIGHTS = (1.0, 0.05, 0.05)
+
+
+def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece by decreasing length; capacity: tokens, documents, attention cost of a bin."""
     need = np.column_stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2])
     if (need > capacity).any():
@@ -74,14 +78,18 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     return bins, offsets
 
 
-def pack(pieces: DataFrame, length: int = 2048, most_documents: int = 2048, most_attention: float | None = None, group_pieces: int = 8192, rule: str = "norm") -> DataFrame:
-    """Adds sequence_id and offset to every row of ``pieces`` (a table with a ``length`` column)."""
+def pack(pieces: DataFrame, length: int = 2048, most_documents: int = 2048, most_attention: float | None = None, group_pieces: int = 8192, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+    """Adds sequence_id and offset to every row of ``pieces`` (a table with a ``length`` column).
+
+    most_documents, most_attention: capacities of a sequence beside its tokens. The defaults are the most that a sequence of ``length``
+    tokens can hold of either, for the fewest sequences; smaller ones bind.
+    """
     n = parts_for(pieces, group_pieces)
     capacity = (float(length), float(most_documents), float(most_attention or length**2))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece", "ids_crc32"], ascending=False, ignore_index=True)
-        bins, offsets = best_fit(rows["length"].to_numpy(), capacity, rule=rule)
+        bins, offsets = best_fit(rows["length"].to_numpy(), capacity, weights, rule)
         return rows.assign(sequence_id=rows["g"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="g")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
@@ -89,9 +97,10 @@ def pack(pieces: DataFrame, length: int = 2048, most_documents: int = 2048, most
     return dealt.groupBy("g").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **capacities) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece; capacities: those of ``pack``."""
     pieces = stage(cut_pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
-    return pack(pieces, length).withColumnRenamed("id", id_col)
+    return pack(pieces, length, **capacities).withColumnRenamed("id", id_col)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

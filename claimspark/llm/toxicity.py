@@ -4,10 +4,12 @@ Features are the words present in a document (A-Z lower-cased, ASCII punctuation
 bounded sample of labelled rows (``max_train_docs``, by smallest hash of the id); every document is scored whole, in
 one pass. Its output is the probability of each grade and the expected severity, sum of k * P(k).
 
-Labels are 0 or 1. Grades 1..3 of toxic rows come from how many words that the sample ties to the toxic label
-they hold: none or one (1), two to four (2), five or more (3). A grade column of one's own goes in the same way.
+Labels are 0 or 1. Grades 1..3 of toxic rows are the thirds of the score that a model of two grades gives them which was
+fitted on the other half of the sample, so no row grades itself. Words that fewer than about one word in 100,000 would
+match by chance (``min_g2``) are the features, ``n_features`` at most: other words carry no weight.
 
-Null or empty text has no features and gets the intercepts alone; null ids are scored like others; labels that are
+Tables without rows give tables without rows; columns but id and text are not read by the scores and go through
+``drop_toxic`` untouched. Null or empty text has no features and gets the intercepts alone; null ids are scored like others; labels that are
 null are not fitted on; repeated rows are scored alike; without both kinds of label every severity is 0.
 """
 
@@ -72,6 +74,17 @@ def fit_ordinal(rows: list, grade: np.ndarray, n_features: int, n_grades: int, l
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
+def severity_grades(rows: list, toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """0 of clean rows; of toxic ones the third (1 to 3) in which the score falls that a two-grade model of the other half gives."""
+    score = np.zeros(len(rows))
+    for half in (0, 1):
+        own = np.arange(len(rows)) % 2 == half
+        w, _ = fit_ordinal([rows[i] for i in np.nonzero(~own)[0]], toxic[~own], n_features, 2, steps=150)
+        score[own] = [w[rows[i]].sum() for i in np.nonzero(own)[0]]
+    low, high = np.quantile(score[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 0, 0, 1 + (score > low) + (score > high))
+
+
 def train(texts: Iterable[str], toxic: np.ndarray, n_features: int = 4096, min_g2: float = 20.0) -> OrdinalModel:
     """Model from labelled texts: the ``n_features`` words most tied to a label by likelihood ratio, if by ``min_g2`` at
     least (chance gives 20 to one word in 100,000), then the ordinal fit. Texts are held as numbers of their words."""
@@ -91,13 +104,11 @@ def train(texts: Iterable[str], toxic: np.ndarray, n_features: int = 4096, min_g
     cells = ((a, n1 * rate), (b, n0 * rate), (n1 - a, n1 * (1 - rate)), (n0 - b, n0 * (1 - rate)))
     strength = 2 * sum(x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, e, 1)) for x, e in cells)
     chosen = sorted(np.nonzero(strength >= min_g2)[0].tolist(), key=lambda i: (-strength[i], words[i]))[:n_features]
-    hits = np.bincount(row[(a / n1 > 8 * b / n0)[flat] & np.isin(flat, chosen)], minlength=len(toxic))
-    grade = np.where(toxic == 0, 0, np.where(hits >= 5, 3, np.where(hits >= 2, 2, 1)))
     number = np.full(len(words), -1)
     number[chosen] = np.arange(len(chosen))
     use = number[flat] >= 0
     features = np.split(number[flat[use]], np.cumsum(np.bincount(row[use], minlength=len(toxic)))[:-1])
-    w, cuts = fit_ordinal(features, grade, len(chosen), 4)
+    w, cuts = fit_ordinal(features, severity_grades(features, toxic, len(chosen)), len(chosen), 4)
     return OrdinalModel({words[j]: float(w[i]) for i, j in enumerate(chosen)}, tuple(map(float, cuts)))
 
 
@@ -116,7 +127,8 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"words": [list(m.weights)], "weights": [list(m.weights.values())], "cuts": [list(m.cuts)]})
 
     # distinct words only: a long text is no larger than its vocabulary
-    model = words_table(rows).limit(2 * max_train_docs).mapInPandas(fit, "words array<binary>, weights array<double>, cuts array<double>").first()
+    sample = words_table(rows).groupBy("_i").agg(F.min(F.struct("words", "_y")).alias("x")).select("_i", "x.words", "x._y")  # of a repeated id the least row
+    model = sample.coalesce(1).mapInPandas(fit, "words array<binary>, weights array<double>, cuts array<double>").first()
     return OrdinalModel(dict(zip(map(bytes, model.words), model.weights, strict=True)), tuple(model.cuts)) if model else OrdinalModel()
 
 

@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.llm.common import table
 
-#: One of these anywhere at word boundaries rejects the url.
-STRICT_TERMS = ("porn", "porno", "xxx", "hentai", "milf", "camgirls", "escorts", "viagra", "warez", "malware")
-#: Only ``min_soft`` distinct ones do.
-SOFT_TERMS = ("adult", "sex", "nude", "casino", "poker", "betting", "gambling", "loan", "pills", "dating", "torrent", "crack", "hack", "lottery", "jackpot")
+#: (term, weight): one of weight ``STRICT`` anywhere at word boundaries rejects the url; of the others distinct ones do whose
+#: weights reach ``REJECT_FROM``, which no single one does. English, German, French, Spanish.
+STRICT, REJECT_FROM = 9, 3
+TERMS = (
+    *((t, STRICT) for t in ("porn", "porno", "xxx", "hentai", "milf", "camgirls", "escorts", "viagra", "cialis", "warez", "malware", "phishing", "sexkontakte", "putas", "tragaperras")),
+    *((t, 2) for t in ("adult", "sex", "nude", "erotik", "erotico", "sexe", "casino", "kasino", "poker", "roulette", "bet", "bets", "betting", "wetten", "paris-sportifs", "apuestas", "gambling", "slots", "loan", "loans", "kredit", "pills", "pillen", "dating", "torrent", "crack", "keygen", "lottery", "jackpot", "spam", "ads", "adserver", "popunder")),
+    *((t, 1) for t in ("x", "hot", "girls", "cam", "win", "bonus", "cheap", "free", "gratis", "gratuit", "billig", "farm", "track", "tracker", "click", "deal", "deals", "cash", "hack", "download")),
+)
 #: (host, path, verdict): the longest that fits decides.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -35,27 +39,28 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Vocabulary:
-    """Strict and soft terms in one automaton. A hit counts where no ASCII letter or digit touches it."""
+    """Weighted terms in one automaton. A hit counts where no ASCII letter or digit touches it."""
 
-    def __init__(self, strict: Sequence[str], soft: Sequence[str]) -> None:
+    def __init__(self, terms: Sequence[tuple[str, int]], strict: int = STRICT) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for term, kind in [*((t, "soft") for t in soft), *((t, "strict") for t in strict)]:
-            self.automaton.add_word(term, (term, kind))
-        self.any = bool(len(self.automaton))
-        if self.any:
+        self.automaton, self.strict = ahocorasick.Automaton(), strict
+        for term, weight in terms:
+            self.automaton.add_word(term, (term, weight))
+        if terms:
             self.automaton.make_automaton()
+        self.any = bool(terms)
 
-    def hits(self, url: str | None) -> tuple[set[str], set[str]]:
+    def hits(self, url: str | None) -> tuple[dict[str, int], dict[str, int]]:
+        """(strict, soft) terms found and their weights."""
         text = (url or "").lower()
-        found: dict[str, set[str]] = {"strict": set(), "soft": set()}
+        found: dict[str, int] = {}
         if text and self.any:
             touches = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
-            for end, (term, kind) in self.automaton.iter(text):
+            for end, (term, weight) in self.automaton.iter(text):
                 if not touches(end + 1) and not touches(end - len(term)):
-                    found[kind].add(term)
-        return found["strict"], found["soft"]
+                    found[term] = weight
+        return {t: w for t, w in found.items() if w >= self.strict}, {t: w for t, w in found.items() if w < self.strict}
 
 
 def rule_for(host: str, path: str, rules: dict[str, list[tuple[str, str]]]) -> tuple[str, str] | None:
@@ -80,9 +85,9 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    min_soft: int = 2,
+    terms: Sequence[tuple[str, int]] = TERMS,
+    strict: int = STRICT,
+    reject_from: int = REJECT_FROM,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, strict_hits, soft_hits) of each row, in one pass without a shuffle."""
     by_host: dict[str, list[tuple[str, str]]] = {}
@@ -90,7 +95,7 @@ def filter_urls(
         by_host.setdefault(host, []).append((path, verdict))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Vocabulary(strict, soft)
+        words = Vocabulary(terms, strict)
         for batch in batches:
             rows = []
             for i, url in zip(batch["i"], batch["u"], strict=True):
@@ -98,7 +103,7 @@ def filter_urls(
                 host, path = split_url(url)
                 fits = rule_for(host, path, by_host)
                 bad, odd = words.hits(url)
-                verdict = fits[1] if fits else "block" if bad or len(odd) >= min_soft else "allow"
+                verdict = fits[1] if fits else "block" if bad or sum(odd.values()) >= reject_from else "allow"
                 rows.append((i, host, path, fits and fits[0], verdict, ",".join(sorted(bad)), ",".join(sorted(odd))))
             yield pd.DataFrame(rows, columns=["i", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
 
@@ -114,19 +119,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    words = ", ".join([*(f"('{t}', true)" for t in STRICT_TERMS), *(f"('{t}', false)" for t in SOFT_TERMS)])
+    words = ", ".join(f"('{t}', {w})" for t, w in TERMS)
     return f"""
 WITH rules(rh, rp, rv) AS (VALUES {rules}),
-words(w, strict) AS (VALUES {words}),
+words(w, weight) AS (VALUES {words}),
 p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, coalesce(lower(url), '') AS u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
         FROM q JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-hit AS (SELECT page_id, list_sort(list(w) FILTER (strict)) AS s, list_sort(list(w) FILTER (NOT strict)) AS o
+hit AS (SELECT page_id, list_sort(list(w) FILTER (weight >= {STRICT})) AS s, list_sort(list(w) FILTER (weight < {STRICT})) AS o, sum(weight) FILTER (weight < {STRICT}) AS soft
         FROM q JOIN words ON regexp_matches(u, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])') GROUP BY page_id)
 SELECT q.page_id, host, path, rule,
-       coalesce(rv, CASE WHEN coalesce(len(s), 0) > 0 OR coalesce(len(o), 0) >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(rv, CASE WHEN coalesce(len(s), 0) > 0 OR coalesce(soft, 0) >= {REJECT_FROM} THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(array_to_string(s, ','), '') AS strict_hits, coalesce(array_to_string(o, ','), '') AS soft_hits
 FROM q LEFT JOIN fit USING (page_id) LEFT JOIN hit USING (page_id)"""
 

@@ -33,3 +33,25 @@ def test_ties_go_to_the_smaller_id_and_few_candidates_are_all_returned(spark):
 
 def test_empty(spark):
     assert ann.nearest(frame(spark, []), frame(spark, [])).count() == 0
+
+
+def test_recall_over_several_shards_of_full_size(spark):
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(40, 24))[r.integers(0, 40, 9000)] + 0.4 * r.normal(size=(9000, 24))).astype(np.float32)
+    docs = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(docs, docs.where("vec_id % 300 = 0"), shard_vectors=4000).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        hits += len({i for i in np.lexsort((np.arange(len(x)), d)) if i != q and d[i] <= np.sort(d)[10]} & set(g["vec_id"]))
+    assert got["query_id"].nunique() == 30 and hits >= 270
+
+
+def test_a_hub_keeps_all_proposals_and_strays_are_found():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(400, 8)), 1e-3 * r.normal(size=(400, 8))]).astype(np.float32)
+    graph, entry = ann.build_graph(x, degree=4, beam=16)
+    lost = ann.strays(graph, entry)
+    cut = graph.copy()
+    cut[cut == 7] = len(x)
+    assert set(ann.strays(cut, entry)) >= {7} - {entry} and len(lost) < len(x) // 4

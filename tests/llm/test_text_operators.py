@@ -326,7 +326,7 @@ def test_line_dedup_against_brute_force(docs):
 
 
 def test_url_filter(spark):
-    rows = [("http://A.example.com/en/7?x", "allow", "example.com/en/7"), ("https://x.com/en/8", "block", "com/en/"), ("https://net/de/1#f", "allow", "net/de/"), ("https://notnet/de/1", "allow", None), ("http://q.org/porn-films", "block", None), ("http://q.org/pornography", "allow", None), ("http://q.org/casino", "allow", None), ("http://q.org/casino/poker", "block", None), ("casino poker", "block", None), (None, "allow", None), ("", "allow", None)]
+    rows = [("http://A.example.com/en/7?x", "allow", "example.com/en/7"), ("https://x.com/en/8", "block", "com/en/"), ("https://net/de/1#f", "allow", "net/de/"), ("https://notnet/de/1", "allow", None), ("http://q.org/porn-films", "block", None), ("http://q.org/pornography", "allow", None), ("http://q.org/casino", "allow", None), ("http://q.org/casino/poker", "block", None), ("casino poker", "block", None), ("http://casino-win.example.net/x.html", "block", None), ("http://free.q.org/win", "allow", None), ("http://cheap-win.q.org/free", "block", None), (None, "allow", None), ("", "allow", None)]
     pages = spark.createDataFrame([(n, u, "h") for n, (u, *_) in enumerate(rows)], "page_id long, url string, host string")
     got = {r.page_id: (r.verdict, r.rule) for r in url_filter.filter_urls(pages).collect()}
     assert got == {n: (v, r) for n, (_, v, r) in enumerate(rows)}
