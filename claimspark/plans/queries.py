@@ -199,12 +199,12 @@ def url_domain(t):
 
 
 def _deny_sql() -> str:
-    return "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(url || ' ' || substr(html, 1, 400), '(?i){p}') THEN '{p}'" for p in X.URL_DENY_PATTERNS) + " END AS pattern FROM pages"
+    return "SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(url, '(?i){p}') THEN '{p}'" for p in X.URL_DENY_PATTERNS) + " END AS pattern FROM pages"
 
 
 @query(_deny_sql())
 def denylist(t):
-    # the whole url and nothing else, as fetch/denylist.py has it: patterns are never to run over page text
+    # the whole url and nothing else: patterns are never to run over page text
     return t("pages").select("page_id", X.denied_by(F.col("url")).alias("pattern"))
 
 
