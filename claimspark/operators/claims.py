@@ -53,6 +53,24 @@ def latest(rows: DataFrame, key: list[str], order: Column, *keep: str) -> DataFr
     return rows.groupBy(*key).agg(F.max_by(F.struct(*keep), order).alias("_r")).select(*key, "_r.*")
 
 
+def attributed_once(rows: DataFrame, sites: DataFrame, key: str, url: str, site: str, gram: int = 6) -> DataFrame:
+    """(key, site) of the rows whose url holds, anywhere and in any case, exactly one of the sites.
+
+    A site is looked for where its first ``gram`` characters stand: urls meet sites by an equal join on these and ``contains``
+    decides. Shorter sites meet on all of their own characters. Empty sites fit nothing.
+    """
+    s = sites.select(F.col(site).alias("site"), F.lower(site).alias("low")).where("low <> ''").dropDuplicates(["site"])
+    s = s.withColumn("head", F.substring("low", 1, gram))
+    u = rows.select(F.col(key), F.lower(url).alias("u"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("u") - n + 1, F.lit(1))), lambda i: F.substring("u", i, n))
+    sizes = sorted(r["size"] for r in s.select(F.length("head").alias("size")).distinct().collect())  # ``gram`` numbers at most
+    if not sizes:
+        return u.select(key, F.lit(None).cast("string").alias("site")).limit(0)
+    heads = u.withColumn("head", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in sizes]))))
+    hits = heads.join(s, "head").where(F.contains("u", "low"))
+    return hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("site")).where("n = 1").select(key, "site")
+
+
 def breaker_opens(log: DataFrame, key: str, order: list[str], bad: Column, times: int = 3) -> DataFrame:
     """Rows at which ``bad`` has held ``times`` times in a row (or a further one) for the key."""
     w = Window.partitionBy(key).orderBy(*order)

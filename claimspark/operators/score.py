@@ -47,14 +47,14 @@ def _lookup(key: Column, points: dict) -> Column:
 
 
 def headcount(pcm: Column, class_12_total: Column, enrollment: Column, grade_low: Column) -> Column:
-    """struct(value, estimated): as observed, else 45 % of class 12, else 6 % of a school that spans all grades."""
+    """struct(value, estimated): as observed, else 45 % of class 12, else 6 % of one that spans all grades."""
     spans = F.coalesce(grade_low, F.lit(1)) <= 5
     guess = F.coalesce(F.bround(class_12_total * 0.45), F.when(spans, F.bround(enrollment * 0.06))).cast("long")
     return F.struct(F.coalesce(pcm.cast("long"), guess).alias("value"), (pcm.isNull() & guess.isNotNull()).alias("estimated"))
 
 
 def components(*, fee: Column, head: Column, boards: Column, district: Column, metro: Column, state: Column, counsellor: Column, principal_fresh: Column, email: Column, phone: Column, campuses: Column, franchise: Column) -> dict[str, Column]:
-    """Tenths of points by component, null where there is no data. A school without a group has data there: 0."""
+    """Tenths of points by component, null where there is no data. One without a group has data there: 0."""
     tier = F.array_max(F.transform(boards, lambda b: F.coalesce(_lookup(b, CURRICULUM), F.lit(CURRICULUM_DEFAULT))))
     place = F.coalesce(_lookup(F.lower(district), DISTRICTS), _lookup(metro, METROS), _lookup(F.lower(state), STATES), F.when(F.coalesce(district, metro, state).isNotNull(), ELSEWHERE))
     reach = sum((F.when(has, p).otherwise(0) for has, p in ((counsellor, 4), (principal_fresh, 3), (email, 2), (phone, 1))), F.lit(0))

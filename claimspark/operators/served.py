@@ -7,13 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark import config
 from claimspark.functions.text import has_all_words, similarity, tokens
 
-# What is typed for a whole name.
-NAME_ALIASES = {
-    "dps": "delhi public school", "kv": "kendriya vidyalaya", "kvs": "kendriya vidyalaya", "jnv": "jawahar navodaya vidyalaya",
-    "dav": "dav public school", "nps": "national public school", "aps": "army public school",
-}
+NAME_ALIASES = config.pairs("name")
 
 
 def direct() -> Column:

@@ -117,16 +117,11 @@ def distinct_on_best(t):
     return t("lineitem").withColumn("rn", rn).where("rn = 1").select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
 
 
-@query("WITH s AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages), hit AS (SELECT page_id, site, count(*) OVER (PARTITION BY page_id) AS n FROM pages JOIN s ON url ILIKE '%' || site || '%') SELECT page_id, site FROM hit WHERE n = 1")
+@query("""WITH s AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages WHERE page_id % 3 = 0), hit AS (SELECT page_id, site, count(*) OVER (PARTITION BY page_id) AS n FROM pages JOIN s ON contains(lower(url), lower(site)))
+SELECT page_id, site FROM hit WHERE n = 1""")
 def unique_attribution(t):
-    # sites of the form of a host can only lie in a url that holds each of their labels, so urls meet sites by host suffix
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    pages = t("pages").select("page_id", host.alias("h"))
-    sites = pages.select(F.col("h").alias("site")).distinct()
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hits = pages.select("page_id", F.explode(suffixes).alias("site")).join(sites, "site")
-    return hits.groupBy("page_id").agg(F.count("*").alias("n"), F.min("site").alias("site")).where("n = 1").select("page_id", "site")
+    sites = t("pages").where("page_id % 3 = 0").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")).distinct()
+    return C.attributed_once(t("pages"), sites, "page_id", "url", "site")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1)")
@@ -218,9 +213,13 @@ def emails(t):
     return t("documents").select("doc_id", F.array_join(F.array_sort(X.emails(F.col("text"))), ",").alias("emails"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:\+?91[\s-]?)?\d[\d\s()-]{7,14}\d')) AS raw FROM documents),
+d AS (SELECT doc_id, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM c), e AS (SELECT doc_id, CASE WHEN starts_with(d, '910') THEN substr(d, 4) ELSE d END AS d FROM d),
+f AS (SELECT doc_id, ltrim(CASE WHEN starts_with(d, '91') AND length(d) > 10 THEN substr(d, 3) ELSE d END, '0') AS d FROM e),
+g AS (SELECT doc_id, string_agg(DISTINCT right(d, 10), ',' ORDER BY right(d, 10)) AS phones FROM f WHERE length(d) IN (10, 11) GROUP BY doc_id)
+SELECT doc_id, coalesce(phones, '') AS phones FROM documents LEFT JOIN g USING (doc_id)""")
 def phones(t):
-    return t("documents").select("doc_id", F.array_join(X.normalize_phones(F.col("text")), ",").alias("phones"))
+    return t("documents").select("doc_id", F.array_join(F.array_sort(X.normalize_phones(F.col("text"))), ",").alias("phones"))
 
 
 @query("WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isle FROM events), r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isle ORDER BY ts, event_id) AS run FROM g) SELECT user_id, event_id, run FROM r WHERE event_type = 'error' AND run >= 2")
@@ -330,22 +329,24 @@ def hard_gate(t):
     return t("customer").select(k.alias("k"), S.gate_reason(F.when(k % 7 != 0, k % 5 != 0), status, F.when(k % 11 == 0, True), streams).alias("reason"))
 
 
-FEES = ("Rs 15,000 / month", "Rs. 1.2 lakh per annum", "2 crore per year", "Rs 60000 p.a.", "45000", "5000 per term", "12,500 quarterly", "1,00,000 annual 9,000 monthly", "", "100 per year", "Rs 36,000 yearly", "3.5 L per annum", "free")
+FEE_SQL = "CASE o_orderkey % 7 WHEN 0 THEN 'Rs ' || n || ' per month' WHEN 1 THEN 'INR ' || n || '/- p.a.' WHEN 2 THEN n || ' quarterly' WHEN 3 THEN n || ' per term' WHEN 4 THEN 'fee ' || n WHEN 5 THEN (n % 7) || '.5 Lakhs a year' ELSE n || ' / month, ' || n || ' yearly' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', {v})" for f, v in zip(FEES, (180000, 120000, "NULL", 60000, "NULL", "NULL", 50000, "NULL", "NULL", "NULL", 36000, 350000, "NULL"), strict=True)) + ") v(fee, rupees)")
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 9000 AS n FROM orders), f AS (SELECT o_orderkey, n, {FEE_SQL} AS fee FROM o),
+r AS (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN n * 12 WHEN 1 THEN n WHEN 2 THEN n * 4 WHEN 5 THEN (n % 7) * 100000 + 50000 END AS rupees, CASE o_orderkey % 7 WHEN 0 THEN n * 12 WHEN 1 THEN n WHEN 2 THEN n * 4 WHEN 4 THEN n WHEN 5 THEN (n % 7) * 100000 + 50000 END AS assumed FROM f)
+SELECT o_orderkey, fee, CASE WHEN rupees BETWEEN 1000 AND 5000000 THEN rupees END AS rupees, CASE WHEN assumed BETWEEN 1000 AND 5000000 THEN assumed END AS assumed FROM r""")
 def parse_inr(t):
-    spark = t("region").sparkSession
-    return spark.createDataFrame([(f,) for f in FEES], "fee string").select("fee", X.parse_inr(F.col("fee")).alias("rupees"))
+    rows = t("orders").select("o_orderkey", (F.col("o_orderkey") % 9000).alias("n")).select("o_orderkey", F.expr(FEE_SQL).alias("fee"))
+    return rows.select("o_orderkey", "fee", X.parse_inr(F.col("fee")).alias("rupees"), X.parse_inr(F.col("fee"), assume_annual=True).alias("assumed"))
 
 
-NAMES = ("DPS Bangalore", "Delhi Public School, Bengaluru", "The Public School", "St. Mary's Sr. Sec. School", "K V No 1 Poona", "Sutara Trust (Regd.)")
+NAMED_SQL = "CASE p_partkey % 4 WHEN 0 THEN 'DPS ' || p_name WHEN 1 THEN p_name || ' Academy, Poona' WHEN 2 THEN 'St. ' || p_name ELSE 'The ' || p_name || ' College' END"
 
 
-@query("SELECT * FROM (VALUES ('DPS Bangalore', 'bengaluru delhi'), ('Delhi Public School, Bengaluru', 'bengaluru delhi'), ('The Public School', 'public school the'), ('St. Mary''s Sr. Sec. School', 'marys saint'), ('K V No 1 Poona', '1 kendriya no pune vidyalaya'), ('Sutara Trust (Regd.)', 'regd sutara trust')) v(name, key)")
+@query(f"""WITH n AS (SELECT p_partkey, p_name, {NAMED_SQL} AS name FROM part)
+SELECT p_partkey, name, array_to_string(list_sort(list_concat(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')), ' '), CASE p_partkey % 4 WHEN 0 THEN ['delhi'] WHEN 1 THEN ['pune'] WHEN 2 THEN ['saint'] ELSE [] END)), ' ') AS key FROM n""")
 def match_key(t):
-    spark = t("region").sparkSession
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", X.match_key(F.col("name")).alias("key"))
+    return t("part").select("p_partkey", F.expr(NAMED_SQL).alias("name")).select("p_partkey", "name", X.match_key(F.col("name")).alias("key"))
 
 
 def _any_sql(column: str, words: list[str]) -> str:
