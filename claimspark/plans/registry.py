@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.plans import build, extraction, registries, served  # noqa: F401 - adds its queries
+from claimspark.plans import build, enrichment, extraction, registries, served  # noqa: F401 - adds its queries
 from claimspark.plans.queries import ORACLE, QUERIES, flagship
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
