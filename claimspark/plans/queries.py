@@ -135,13 +135,7 @@ def not_exists_anti(t):
     return t("orders").join(t("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 23 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS key, a AS reach FROM s UNION SELECT r.key, s.b FROM r JOIN s ON r.reach = s.a) SELECT key, min(reach) AS \"primary\" FROM r GROUP BY key")
-def merge_decisions(t):
-    pairs = t("orders").where("o_orderkey % 23 = 0").selectExpr("o_custkey AS a", "o_custkey + 1 + o_orderkey % 3 AS b")
-    return merge_components(pairs, "a", "b")
-
-
-@query()  # all orders: the recursive SQL of merge_decisions is too slow for them, so a union-find in the tests holds it
+@query()  # recursive SQL is too slow for all orders, so a union-find in the tests holds it
 def merge_decisions_all(t):
     return merge_components(t("orders").selectExpr("o_custkey AS a", "o_custkey + 1 + o_orderkey % 3 AS b"), "a", "b")
 
