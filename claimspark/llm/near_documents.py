@@ -1,7 +1,8 @@
 """Near copies of documents: word shingles of five, Jaccard similarity 0.8 or more, one document of a group.
 
-Candidates share a key of three minima of the hashes of their shingles (``BANDS`` keys: of pairs at 0.8 about one in
-100,000 shares none); the Jaccard similarity of the full shingle sets decides. A document is its id and its text, so null
+Candidates come from two searches, and the Jaccard similarity of the full shingle sets alone decides. First, as in ``simhash``:
+SimHashes of the shingles, anchors, links at 4 or fewer differing bits, components. Few pairs at 0.8 are as near as 4 bits of 64, so
+second: keys of three minima of the hashes of the shingles (``BANDS`` keys: of pairs at 0.8 about one in 100,000 shares none). A document is its id and its text, so null
 and repeated ids keep all their different texts; rows equal in both are one document. Texts without words are equal to
 each other. An empty table stays empty; other columns go through whatever their names.
 """
@@ -15,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import fresh, stage
+from claimspark.llm.common import connected_components, drop_staged, fresh, stage
 from claimspark.llm.grams import band_keys, candidate_groups, minima, near_groups, shingles_of, word_hashes
+from claimspark.llm.simhash import fingerprints, links
 
 BANDS, BAND_ROWS = 16, 3
 _SPACES = bytes(32 if 9 <= i <= 13 else i for i in range(256))
@@ -43,6 +45,17 @@ def document_keys(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("fp", "t").mapInPandas(run, "g long, fp long")
 
 
+def simhash_keys(docs: DataFrame, n: int, most: int = 4) -> DataFrame:
+    """(g, fp): the component of each document (fp, t) whose SimHash is linked to another's or equal to it."""
+    sims = stage(fingerprints(docs, "fp", "t", n).select(F.col("id").alias("at"), "fp"), "near-simhashes")
+    parts = connected_components(links(sims.select("fp").distinct(), most))
+    named = sims.join(parts, F.col("fp") == F.col("node"), "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(most)).alias("g"), F.col("at").alias("fp"))
+    named = stage(named, "near-components")
+    drop_staged(sims)
+    many = named.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    return named.join(many, "g", "left_semi")
+
+
 class JaccardTester:
     """Jaccard similarity of the shingle sets of texts."""
 
@@ -74,7 +87,8 @@ def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay, with their own columns: of each group linked at ``similarity`` the one with the
     smallest id, null ids last."""
     rows = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("fp", F.xxhash64("key"))
-    groups = candidate_groups(rows, lambda r: document_keys(r, n), tile)
+    near = stage(simhash_keys(rows, n), "near-bits")
+    groups = candidate_groups(rows, lambda r: document_keys(r, n).unionByName(near.join(r.select("fp"), "fp", "left_semi").select("g", "fp")), tile)
     # the number of distinct shingles isn't known before the test, which looks at it first
     groups = near_groups(groups, rows.select("fp", "key", F.lit(1).alias("size"), F.col("t").alias("body")), lambda texts: JaccardTester(texts, n, similarity), similarity)
     ids = stage(rows.select("key", "id"), "document-keys")

@@ -61,3 +61,16 @@ def test_more_bits_than_the_anchors_cover_raise(spark):
 
 def test_empty_table(spark):
     assert near_documents.keep_one_of_near(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_simhash_links_are_candidates_by_themselves(spark, monkeypatch):
+    rows = copies(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    near = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 4]
+    group = {r.fp: r.g for r in near_documents.simhash_keys(docs.toDF("fp", "t"), 5).collect()}
+    assert len(near) > 20 and all(group[a] == group[b] for a, b in near)
+    text = dict(rows)
+    monkeypatch.setattr(near_documents, "document_keys", lambda r, n: r.select("fp", "fp").toDF("g", "fp").limit(0))
+    gone = set(bits) - {r.doc_id for r in near_documents.keep_one_of_near(docs).collect()}
+    assert gone >= {b for a, b in near if jaccard(text[a], text[b]) >= 0.8}
