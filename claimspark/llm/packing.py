@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import parts_for, stage, table
+from claimspark.llm.common import TEXTS, batches_of, parts_for, stage, table
 from claimspark.llm.tokens import default_tokenizer, encoder
 
 
@@ -99,7 +99,8 @@ def pack(pieces: DataFrame, length: int = 2048, most_documents: int = 2048, most
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **capacities) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece; capacities: those of ``pack``."""
-    pieces = stage(cut_pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
+    with batches_of(docs.sparkSession, TEXTS):
+        pieces = stage(cut_pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
     return pack(pieces, length, **capacities).withColumnRenamed("id", id_col)
 
 
