@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import stage, table
+from claimspark.llm.common import BLOCKS, TEXTS, batches_of, stage, table
 
 END = b""  # no word is empty
 BLOCK_WORDS = 200_000  # distinct words that a task keeps at hand
@@ -199,10 +199,9 @@ def forward(model: Hmm, seqs: list[np.ndarray], keep: bool = False):
     log = np.zeros(len(seqs))
     alphas, scales = (np.empty((len(obs), len(model.start))), np.empty(len(obs))) if keep else (None, None)
     a = None
-    seen = emit[obs]
     for t, n in enumerate(active):
         s = slice(first[t], first[t + 1])
-        a = (model.start if a is None else a[:n] @ model.move) * seen[s]
+        a = (model.start if a is None else a[:n] @ model.move) * emit[obs[s]]
         scale = a.sum(1)
         a /= scale[:, None]
         log[:n] += np.log(scale)
@@ -210,12 +209,12 @@ def forward(model: Hmm, seqs: list[np.ndarray], keep: bool = False):
             alphas[s], scales[s] = a, scale
     out = np.empty(len(seqs))
     out[order] = log
-    return (out, obs, first, active, seen, alphas, scales) if keep else out
+    return (out, obs, first, active, emit, alphas, scales) if keep else out
 
 
 def expected(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """Baum-Welch counts of the sequences: start, move and emit in one vector, then the log likelihood."""
-    log, obs, first, active, seen, alphas, scales = forward(model, seqs, keep=True)
+    log, obs, first, active, emit, alphas, scales = forward(model, seqs, keep=True)
     k, moves = len(model.start), np.zeros_like(model.move)
     gamma = alphas
     beta = np.ones((active[-1], k))
@@ -224,7 +223,7 @@ def expected(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
         if len(beta) < n:
             beta = np.concatenate([beta, np.ones((n - len(beta), k))])
         if t:
-            back = seen[s] * beta / scales[s, None]
+            back = emit[obs[s]] * beta / scales[s, None]
             moves += alphas[first[t - 1] : first[t - 1] + n].T @ back
             gamma_here = alphas[s] * beta
             beta = back @ model.move.T
@@ -339,10 +338,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has the context of its class alone. lexicon_words: how many counts go to every task; the others are joined.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = stage(word_counts(docs, id_col, text_col), "hmm-counts")
-    lexicon = lexicon_of(counts, top, shared, lexicon_words)
-    blocks = stage(encoded(docs, id_col, text_col, lexicon), "hmm-blocks")
-    model = train(blocks, lexicon, states, passes)
+    spark = docs.sparkSession
+    with batches_of(spark, TEXTS):
+        counts = stage(word_counts(docs, id_col, text_col), "hmm-counts")
+        lexicon = lexicon_of(counts, top, shared, lexicon_words)
+        blocks = stage(encoded(docs, id_col, text_col, lexicon), "hmm-blocks")
+    with batches_of(spark, BLOCKS):
+        model = train(blocks, lexicon, states, passes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _grouped(batches):
