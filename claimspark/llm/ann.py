@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards by hash. In a shard, greedy beam searches from a central vector propose neighbours of
 each vector; relaxed distance pruning (``alpha``) keeps diverse edges, ``degree`` at most; reverse edges are pruned the
-same way. Nodes that no path leads to are compared outright. Queries are beam-searched in every shard, in blocks of
+same way. Nodes that no path leads to then are linked to the nearest in reach that has a place left, and compared outright, as
+one such link seldom is the way of a greedy search. Queries are beam-searched in every shard, in blocks of
 ``block_queries`` that an index travels to, and the best of all shards stay, the distances of all that a search met
 measured anew in double precision.
 
@@ -88,6 +89,13 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
 
 def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 6, batch: int = 512) -> tuple[np.ndarray, int]:
     """(graph [n + 1, degree], entry) over the rows of x; unused places hold n, and so does row n."""
+    graph, entry = grow_graph(x, degree, beam, alpha, seed, batch)
+    link_strays(x, graph, entry)
+    return graph, entry
+
+
+def grow_graph(x: np.ndarray, degree: int, beam: int, alpha: float, seed: int = 6, batch: int = 512) -> tuple[np.ndarray, int]:
+    """As ``build_graph``, but pruning may leave nodes that no path leads to."""
     n = len(x)
     norms = (x * x).sum(1)
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -131,7 +139,7 @@ def _add_edges(x: np.ndarray, graph: np.ndarray, to: np.ndarray, src: np.ndarray
 
 
 def strays(graph: np.ndarray, entry: int) -> np.ndarray:
-    """The nodes that no path leads to from the entry; a search compares them outright."""
+    """The nodes that no path leads to from the entry."""
     n = len(graph) - 1
     met = np.zeros(n + 1, dtype=bool)
     met[n] = met[entry] = True
@@ -143,6 +151,32 @@ def strays(graph: np.ndarray, entry: int) -> np.ndarray:
     return np.nonzero(~met)[0]
 
 
+def link_strays(x: np.ndarray, graph: np.ndarray, entry: int) -> None:
+    """Edges to the nodes that no path leads to, each from the nearest node in reach that has places left, the nearest first, until all
+    are in reach or no place is left. Pruning may take a node's last way in; no edge is taken away here."""
+    n = len(x)
+    norms = (x * x).sum(1)
+    while len(lost := strays(graph, entry)):
+        met = np.ones(n, dtype=bool)
+        met[lost] = False
+        free = np.where(met, (graph[:n] == n).sum(axis=1), 0)
+        room = np.nonzero(free)[0]
+        if not len(room):
+            return
+        src, far = np.zeros(len(lost), dtype=np.int64), np.zeros(len(lost), dtype=x.dtype)
+        for part in range(0, len(lost), 1024):
+            d = norms[room] - 2 * x[lost[part : part + 1024]] @ x[room].T
+            src[part : part + 1024], far[part : part + 1024] = room[d.argmin(axis=1)], d.min(axis=1) + norms[lost[part : part + 1024]]
+        by = np.lexsort((far, src))
+        src, dst = src[by], lost[by]
+        _, first, many = np.unique(src, return_index=True, return_counts=True)
+        rank = np.arange(len(src)) - np.repeat(first, many)
+        now = rank < free[src]
+        src, dst, rank = src[now], dst[now], rank[now]
+        place = np.argsort(graph[src] != n, axis=1, kind="stable")[np.arange(len(src)), rank]
+        graph[src, place] = dst
+
+
 def usable(v) -> F.Column:
     """True of a vector that takes part."""
     v = v.cast("array<double>")
@@ -162,12 +196,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         rows = rows.assign(key=[ids[0] for ids in rows["ids"]]).sort_values("key", ignore_index=True)
         exact = np.stack(rows["v"].to_numpy()).astype("<f8")
         x = exact.astype(np.float32)
-        graph, entry = build_graph(x, degree, max(beam * 2 // 3, degree), alpha)
+        graph, entry = grow_graph(x, degree, max(beam * 2 // 3, degree), alpha)
+        lost = strays(graph, entry)
+        link_strays(x, graph, entry)
         ids = np.concatenate(rows["ids"].to_numpy()).astype("<i8")
         many = rows["ids"].map(len).to_numpy().astype("<i4")
-        return pd.DataFrame({"dim": [int(rows["dim"].iloc[0])], "n": [len(x)], "entry": [entry], "v": [exact.tobytes()], "graph": [graph.astype("<i4").tobytes()], "ids": [ids.tobytes()], "many": [many.tobytes()]})
+        return pd.DataFrame({"dim": [int(rows["dim"].iloc[0])], "n": [len(x)], "entry": [entry], "v": [exact.tobytes()], "graph": [graph.astype("<i4").tobytes()], "lost": [lost.astype("<i4").tobytes()], "ids": [ids.tobytes()], "many": [many.tobytes()]})
 
-    index = stage(dealt.groupBy("shard", "dim").applyInPandas(build, "dim int, n int, entry int, v binary, graph binary, ids binary, many binary"), "graphs")
+    index = stage(dealt.groupBy("shard", "dim").applyInPandas(build, "dim int, n int, entry int, v binary, graph binary, lost binary, ids binary, many binary"), "graphs")
     asked = stage(q.withColumn("dim", F.size("v")), "queries")
     blocks = parts_for(asked, block_queries)
 
@@ -186,11 +222,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 many = np.frombuffer(r.many, "<i4").astype(np.int64)
                 ids, first = np.frombuffer(r.ids, "<i8"), np.cumsum(many) - many
                 graph = np.frombuffer(r.graph, "<i4").reshape(r.n + 1, -1).astype(np.int64)
-                norms, lost = (x * x).sum(1), strays(graph, r.entry)
+                norms, lost = (x * x).sum(1), np.frombuffer(r.lost, "<i4")  # linked or not
                 for part in range(0, len(qids), at_once):
                     qid, qv = qids[part : part + at_once], qvs[part : part + at_once]
                     found, _ = beam_search(x, norms, graph, r.entry, qv.astype(np.float32), beam)
-                    found = np.concatenate([found, np.broadcast_to(lost, (len(found), len(lost)))], axis=1)
+                    met = np.sort(np.concatenate([found, np.broadcast_to(lost, (len(found), len(lost)))], axis=1), axis=1)
+                    found = np.where(np.diff(met, axis=1, prepend=-1) > 0, met, -1)
                     score = np.sqrt(((exact[np.maximum(found, 0)] - qv[:, None]) ** 2).sum(2))
                     of, node = np.nonzero(found >= 0)[0], found[found >= 0]
                     times = many[node]

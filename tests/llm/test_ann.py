@@ -55,3 +55,29 @@ def test_a_hub_keeps_all_proposals_and_strays_are_found():
     cut = graph.copy()
     cut[cut == 7] = len(x)
     assert set(ann.strays(cut, entry)) >= {7} - {entry} and len(lost) < len(x) // 4
+
+
+def test_nodes_that_pruning_cut_off_are_linked_again():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(400, 8)), 1e-3 * r.normal(size=(400, 8))]).astype(np.float32)
+    for degree, beam in ((4, 16), (8, 16)):
+        graph, entry = ann.build_graph(x, degree=degree, beam=beam)
+        assert not len(ann.strays(graph, entry)) and graph.shape == (801, degree) and (graph[800] == 800).all()
+        again = graph.copy()
+        again[0, :] = again[again == 3] = 800  # a node without a way in and one with places left
+        before = (again < 800).sum()
+        ann.link_strays(x, again, entry)
+        assert not len(ann.strays(again, entry)) and (again < 800).sum() > before
+
+
+def test_what_pruning_cut_off_is_found_at_a_small_degree(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(400, 8)), 1e-3 * r.normal(size=(400, 8))]).astype(np.float32)
+    vectors = frame(spark, list(enumerate(x)))
+    got = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), degree=4, beam=16).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        hits += len({i for i in np.lexsort((np.arange(len(x)), d)) if i != q and d[i] <= np.sort(d)[10]} & set(g["vec_id"]))
+    assert len(got) == 400 and not got.duplicated(["query_id", "vec_id"]).any()
+    assert hits >= 350
