@@ -74,6 +74,9 @@ class JaccardTester:
         both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
         return both >= self.least * (len(a) + len(b) - both)
 
+    def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.zeros(len(i), dtype=bool)
+
     def settle(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.fromiter(map(self.sure, i.tolist(), j.tolist()), dtype=bool, count=len(i))
 
