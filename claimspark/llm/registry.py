@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.llm import ann, exact_dedup, hmm, line_dedup, mixing, packing, simhash, token_files, toxicity, url_filter
+from claimspark.llm import ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_main_text": main_text.op11_main_text,
 }
-ORACLE = {k: v for m in (ann, exact_dedup, hmm, line_dedup, mixing, packing, simhash, token_files, toxicity, url_filter) for k, v in m.ORACLE.items()}
+MODULES = (ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, simhash, token_files, toxicity, url_filter)
+ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
