@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.llm import ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, phrases, simhash, token_files, toxicity, url_filter
+from claimspark.llm import alignment, ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, phrases, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_main_text": main_text.op11_main_text,
     "op12_phrases": phrases.op12_phrases,
+    "op13_alignment": alignment.op13_alignment,
 }
-MODULES = (ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, phrases, simhash, token_files, toxicity, url_filter)
+MODULES = (alignment, ann, exact_dedup, hmm, line_dedup, main_text, mixing, packing, phrases, simhash, token_files, toxicity, url_filter)
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
