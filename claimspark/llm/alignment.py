@@ -18,6 +18,7 @@ in a text are plain text.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,22 +39,38 @@ AT_HAND = 1 << 20
 LOW = (1 << 32) - 1
 
 
-class ByteLevel:
-    """Ids of a byte-level vocabulary (tokenizers library) and the bytes of each id."""
+class ByteLevel(dict):
+    """Ids of a byte-level vocabulary (tokenizers library), part by part, and the bytes of each id. Keeps ``WORDS`` parts."""
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         whole = Tokenizer.from_file(path)
         self.model, self.cut = whole.model, regex.compile(BYTE_LEVEL)
         self.shown = _byte_characters()
         byte_of = {c: b for b, c in self.shown.items()}
         size = whole.get_vocab_size()
         self.bytes = [bytes(byte_of.get(c, 0) for c in whole.id_to_token(i) or "") for i in range(size)]
+        if not {bytes([b]) for b in range(256)} <= set(self.bytes):
+            raise ValueError("not every byte has an id, so not every text can be spelled")
+
+    def __missing__(self, part: str) -> bytes:
+        found = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        if len(self) < WORDS:
+            self[part] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut.findall(text)))
 
-    def ids(self, text: str) -> list[int]:
-        return [t.id for part in self.cut.findall(text) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]
+    def word(self, word: str) -> bytes:
+        """The ids of a word with the space before it; letters and then signs are two parts."""
+        stem = word.rstrip(".,;:!?")
+        if stem.isalpha():
+            return self[" " + stem] + (self[word[len(stem) :]] if len(stem) < len(word) else b"")
+        return self.ids(" " + word)
 
 
 class Pieces:
@@ -66,13 +83,15 @@ class Pieces:
         name = self.model.id_to_piece
         self.bytes = [bytes([int(name(i)[3:5], 16)]) if self.model.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
-    def ids(self, text: str) -> list[int]:
-        return self.model.encode(text[1:])
+    def ids(self, text: str) -> bytes | None:
+        """None where the pieces don't spell a space and the text."""
+        ids = self.model.encode(text)
+        return array("I", ids).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode() else None
 
 
 class Encoder(dict):
-    """A word with the space before it -> ids of both sides; None where either does not spell it, empty where it begins with
-    white space, which may belong to what stands before. Keeps ``WORDS`` words.
+    """A word with the space before it -> ids of both sides; None where B does not spell it (A always does), empty where it
+    begins with white space, which may belong to what stands before. Keeps ``WORDS`` words.
 
     Neither vocabulary joins across a single space before other words, so a text's ids are those of its words in a row.
     """
@@ -81,18 +100,12 @@ class Encoder(dict):
         super().__init__()
         self.a, self.b = ByteLevel(a), Pieces(b)
 
-    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        raw, out = text.encode(), []
-        for side in (self.a, self.b):
-            ids = side.ids(text)
-            if b"".join(map(side.bytes.__getitem__, ids)) != raw:
-                return None
-            out.append(np.array(ids, dtype="<u4"))
-        return tuple(out)
-
     def __missing__(self, word: str) -> tuple[bytes, bytes] | None:
-        found = () if word[0].isspace() else self.whole(" " + word)
-        found = found and (found[0].tobytes(), found[1].tobytes())
+        if word[0].isspace():
+            found = ()
+        else:
+            b = self.b.ids(word)
+            found = None if b is None else (self.a.word(word), b)
         if len(self) < WORDS:
             self[word] = found
         return found
@@ -103,7 +116,8 @@ class Encoder(dict):
         words = text.split(" ")
         found = [()] if "" in words else list(map(self.__getitem__, words))
         if () in found:  # white space in a row, or at an end
-            return self.whole(" " + text)
+            b = self.b.ids(text)
+            found = [None if b is None else (self.a.ids(" " + text), b)]
         if None in found:
             return None
         return tuple(np.frombuffer(b"".join([f[i] for f in found]), dtype="<u4") for i in (0, 1))
