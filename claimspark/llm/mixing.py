@@ -6,7 +6,7 @@ spent. A source whose target exceeds its size goes round again, up to ``max_repe
 
 Prefix sums come in two levels (sums by bucket of the shuffle key, then a window inside one bucket), so a source
 that holds most rows is dealt over many tasks. Null text has size 0; null source is a source of its own, ranked last; the
-order is shuffled by id and text, so null and repeated ids stand anywhere too; equal rows are rows of their own, which of
+order is shuffled by id and text, so null and repeated ids stand anywhere too, and the layout of the files decides nothing; equal rows are rows of their own, which of
 them is served first is all the same; an empty table gives an empty result. Columns but id, source and text are not read
 by ``mix_sources`` and go through ``mixed_documents``, whatever their names.
 """
@@ -54,7 +54,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_RE)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).alias("h"), *([row_key(id_col, source_col, text_col).alias("key")] if keyed else []))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), *([row_key(id_col, source_col, text_col).alias("key")] if keyed else []))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.shiftrightunsigned("h", 52)), "mix")
     sums = stage(rows.groupBy("src", "bucket").agg(F.sum("size").alias("b_size")), "mix-sums")
     per = sums.groupBy("src").agg(F.sum("b_size").alias("s")).collect()

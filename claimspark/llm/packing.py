@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import TEXTS, batches_of, parts_for, stage, table
+from claimspark.llm.common import TEXTS, batches_of, fresh, parts_for, stage, table
 from claimspark.llm.tokens import default_tokenizer, encoder
 
 
@@ -79,22 +79,22 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
 
 
 def pack(pieces: DataFrame, length: int = 2048, most_documents: int = 2048, most_attention: float | None = None, group_pieces: int = 8192, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """Adds sequence_id and offset to every row of ``pieces`` (a table with a ``length`` column).
+    """Adds sequence_id and offset to every row of ``pieces``, a table with the columns id, piece, length and ids_crc32 and any others.
 
     most_documents, most_attention: capacities of a sequence beside its tokens. The defaults are the most that a sequence of ``length``
     tokens can hold of either, for the fewest sequences; smaller ones bind.
     """
-    n = parts_for(pieces, group_pieces)
+    n, (group,) = parts_for(pieces, group_pieces), fresh(pieces, "g")
     capacity = (float(length), float(most_documents), float(most_attention or length**2))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece", "ids_crc32"], ascending=False, ignore_index=True)
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity, weights, rule)
-        return rows.assign(sequence_id=rows["g"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="g")
+        return rows.assign(sequence_id=rows[group].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns=group)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.lit(n))) if n > 1 else pieces.withColumn("g", F.lit(0).cast("long"))
-    return dealt.groupBy("g").applyInPandas(run, schema)
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64("id", "piece"), F.lit(n)) if n > 1 else F.lit(0).cast("long"))
+    return dealt.groupBy(group).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **capacities) -> DataFrame:

@@ -113,9 +113,9 @@ def train(texts: Iterable[str], toxic: np.ndarray, n_features: int = 4096, min_g
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 8000) -> OrdinalModel:
-    """Fit on at most ``max_train_docs`` labelled rows of ``docs``, those whose ids hash lowest. The fit is a task of an
+    """Fit on at most ``max_train_docs`` labelled rows of ``docs``, those whose ids hash lowest; of an id's labels the least counts. The fit is a task of an
     executor, run again if that is lost; the driver is sent the model alone, a row of at most ``n_features`` words."""
-    picked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).dropDuplicates(["_i"])
+    picked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).groupBy("_i").agg(F.min("_y").alias("_y"))
     picked = picked.orderBy(F.xxhash64("_i"), "_i").limit(max_train_docs)
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(picked), "_i")
 

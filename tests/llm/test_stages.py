@@ -163,3 +163,28 @@ def test_ordinal_fit_is_a_slow_optimum():
             assert loss(w + step * np.eye(3)[i], cuts) > best - 1e-7
         for k in range(2):
             assert loss(w, cuts + step * np.eye(2)[k]) > best - 1e-7
+
+
+def test_the_layout_decides_nothing_of_a_mix(spark):
+    """Sixty rows of five ids: the same rows are served, however they lie."""
+    r = random.Random(8)
+    rows = [(r.randrange(5), text(i, r.randrange(1, 30)), r.choice("aabc")) for i in range(60)]
+    mixes = []
+    for parts in (1, 3, 7):
+        r.shuffle(rows)
+        mixes.append(sorted(map(tuple, mixing.mix_sources(table(spark, rows).repartition(parts)).collect())))
+    assert mixes[0] == mixes[1] == mixes[2]
+
+
+def test_packing_leaves_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(i, 0, 700, i, i * 7, -i) for i in range(9)], "id long, piece int, length long, ids_crc32 long, g long, _g long")
+    got = packing.pack(pieces, group_pieces=4)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted((x.id, x.g, x._g) for x in got.collect()) == [(i, i * 7, -i) for i in range(9)]
+
+
+def test_of_repeated_labels_the_least_counts(spark):
+    docs = spark.createDataFrame([(i, "bad words" if i % 2 else "good words") for i in range(200)], "doc_id long, text string")
+    rows = [(i, y) for i in range(200) for y in ((1, 1) if i % 2 else (0, 1))]
+    models = [toxicity.train_on(docs, spark.createDataFrame(rows[::step], "doc_id long, toxic int").repartition(parts)) for step, parts in ((1, 1), (-1, 5))]
+    assert models[0].weights == models[1].weights and models[0].weights[b"bad"] > 0
