@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,14 @@ def resolve(claims: DataFrame, policy: dict[str, list[str]]) -> DataFrame:
     return ranked.withColumn("reason", reason).withColumn("won", F.col("place").isNotNull() & (F.col("rk") == 1)).drop("top")
 
 
-def disputes(ranked: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """(entity_key, field, disputed) of each winner: whether a permitted claim of another source is off by more."""
+# Fields whose sources are worth a look where they are far apart.
+DISPUTED_FIELDS = ("fee_annual_inr", "total_enrollment", "class_12_total", "pcm_12_count")
+
+
+def disputes(ranked: DataFrame, tolerance: float = 0.2, fields: Sequence[str] = DISPUTED_FIELDS) -> DataFrame:
+    """(entity_key, field, disputed) of each winner: whether, in one of ``fields``, a permitted claim of another source is off by more."""
     w = ranked.where("won").select("entity_key", "field", F.col("source_id").alias("w_source"), F.col("value").alias("w"))
-    off = (F.col("source_id") != F.col("w_source")) & F.col("place").isNotNull() & (F.col("w") != 0) & (F.abs(F.col("value") - F.col("w")) > tolerance * F.abs(F.col("w")))
+    off = F.col("field").isin(*fields) & (F.col("source_id") != F.col("w_source")) & F.col("place").isNotNull() & (F.col("w") != 0) & (F.abs(F.col("value") - F.col("w")) > tolerance * F.abs(F.col("w")))
     return ranked.join(w, ["entity_key", "field"]).groupBy("entity_key", "field").agg(F.max(F.coalesce(off, F.lit(False))).alias("disputed"))
 
 
@@ -81,9 +87,14 @@ def breaker_opens(log: DataFrame, key: str, order: list[str], bad: Column, times
 
 
 def queue_step(jobs: DataFrame, now: Column, backoff: tuple[int, ...] = (2, 8, 30), stale_minutes: int = 30) -> DataFrame:
-    """The jobs after a sweep: failed ones retry after the backoff or are dead, stale locks are released."""
-    wait = F.element_at(F.array(*map(F.lit, backoff)), F.least(F.col("attempts"), F.lit(len(backoff))).cast("int"))
-    dead, failed = F.col("attempts") >= F.col("max_attempts"), F.col("state") == "failed"
-    stale = (F.col("state") == "running") & (F.col("locked_at") < now - F.expr(f"INTERVAL {stale_minutes} MINUTES"))
-    state = F.when(failed & dead, "dead").when(failed | stale, "queued").otherwise(F.col("state"))
-    return jobs.withColumn("wait_s", F.when(failed & ~dead, wait).otherwise(F.lit(0))).withColumn("state", state)
+    """The jobs after a sweep, with ``wait_s``: failed ones are pending again from the backoff on, or dead; jobs whose lock is stale are pending
+    again at once. Either way the lock is gone."""
+    wait = F.element_at(F.array(*map(F.lit, backoff)), F.greatest(F.least(F.col("attempts"), F.lit(len(backoff))), F.lit(1)).cast("int"))
+    failed = F.col("state") == "failed"
+    dead, again = failed & (F.col("attempts") >= F.col("max_attempts")), failed & (F.col("attempts") < F.col("max_attempts"))
+    stale = F.coalesce((F.col("state") == "running") & (F.col("locked_at") < now - F.expr(f"INTERVAL {stale_minutes} MINUTES")), F.lit(False))
+    free = lambda c: F.when(~(failed | stale), F.col(c)).alias(c)
+    return jobs.withColumns({
+        "wait_s": F.when(again, wait).otherwise(F.lit(0)), "not_before": F.when(again, now + F.make_dt_interval(secs=wait)).otherwise(F.col("not_before")),
+        "locked_by": free("locked_by"), "locked_at": free("locked_at"), "state": F.when(dead, "dead").when(again | stale, "pending").otherwise(F.col("state")),
+    })

@@ -71,9 +71,10 @@ def review_reason(value: Column, edges: Sequence[int], margin: float = 0.1) -> C
     return F.when(near, F.lit("near the edge of a band"))
 
 
-def outcome(reached: Column, walled: Column, disclosed: Column, fee_link: Column, spent: Column, budget: int = 6) -> Column:
-    """What came of a visit, the first that holds."""
-    return F.when(~reached, "unreachable").when(walled, "login_wall").when(disclosed & fee_link.isNotNull(), "fee_document").when(disclosed, "disclosure_only").when(spent >= budget, "budget_spent").otherwise("nothing_found")
+def outcome(site: Column, status: Column, walled: Column, index: Column, fee: Column) -> Column:
+    """What came of a visit, the first that holds: no site, none that answers, a wall, no disclosure, its fee document, the disclosure alone."""
+    dead = status.isNull() | (status >= 500)
+    return F.when(site.isNull(), "no_website").when(dead, "dead_origin").when(walled, "login_wall").when(index.isNull(), "not_found").when(fee.isNotNull(), "found_fee").otherwise("found_index")
 
 
 def guessed_pages(rows: DataFrame, base: str, paths: Sequence[str], budget: str) -> DataFrame:

@@ -24,6 +24,17 @@ def claim(jobs: DataFrame, now: Column, worker: str, n: int = 1) -> DataFrame:
     }).select(*jobs.columns)
 
 
+def finish(jobs: DataFrame, ended: DataFrame, now: Column) -> DataFrame:
+    """The jobs after ``ended`` (id, error) came back: done without an error, else failed, for ``queue_step`` to decide on; ids that don't run count for nothing."""
+    back = ended.groupBy("id").agg(F.max("error").alias("said")).select("id", "said", F.lit(True).alias("came"))
+    out = jobs.join(back, "id", "left")
+    came = F.coalesce("came", F.lit(False)) & (F.col("state") == "running")
+    return out.withColumns({
+        "state": F.when(came & F.col("said").isNull(), "done").when(came, "failed").otherwise(F.col("state")), "last_error": F.when(came, F.substring("said", 1, 4000)).otherwise(F.col("last_error")),
+        "finished_at": F.when(came & F.col("said").isNull(), now).otherwise(F.col("finished_at")), "locked_by": F.when(~came, F.col("locked_by")), "locked_at": F.when(~came, F.col("locked_at")),
+    }).select(*jobs.columns)
+
+
 def field_scores(gold: DataFrame, claims: DataFrame, agrees: Column) -> DataFrame:
     """(field, gold_count, produced, correct, wrong, missing, precision, recall, coverage): gold (entity_key, field, expected) against the
     most certain, then latest, claim (entity_key, field, value); ``agrees`` of the columns expected and value. Null where nothing divides."""

@@ -40,10 +40,10 @@ def rows_to_claims(t):
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN abs(v - 50000) <= 5000 OR abs(v - 100000) <= 10000 OR abs(v - 300000) <= 30000 THEN 'near the edge of a band' END AS reason,
- CASE WHEN o_orderkey % 9 = 0 THEN 'unreachable' WHEN o_orderkey % 7 = 0 THEN 'login_wall' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'fee_document' WHEN o_orderkey % 2 = 0 THEN 'disclosure_only' WHEN o_orderkey % 11 >= 6 THEN 'budget_spent' ELSE 'nothing_found' END AS outcome FROM (SELECT *, floor(o_totalprice)::BIGINT AS v FROM orders)""")
+ CASE WHEN o_orderkey % 9 = 0 THEN 'no_website' WHEN o_orderkey % 11 IN (0, 6, 7) THEN 'dead_origin' WHEN o_orderkey % 7 = 0 THEN 'login_wall' WHEN o_orderkey % 2 = 1 THEN 'not_found' WHEN o_orderkey % 3 = 0 THEN 'found_fee' ELSE 'found_index' END AS outcome FROM (SELECT *, floor(o_totalprice)::BIGINT AS v FROM orders)""")
 def review_and_outcome(t):
     k, v = F.col("o_orderkey"), F.floor("o_totalprice")
-    return t("orders").select(k.alias("k"), N.review_reason(v, [50000, 100000, 300000]).alias("reason"), N.outcome(k % 9 != 0, k % 7 == 0, k % 2 == 0, F.when(k % 3 == 0, "u"), k % 11).alias("outcome"))
+    return t("orders").select(k.alias("k"), N.review_reason(v, [50000, 100000, 300000]).alias("reason"), N.outcome(F.when(k % 9 != 0, "s"), F.when((k % 11).isin(6, 7), 503).when(k % 11 > 0, 200), k % 7 == 0, F.when(k % 2 == 0, "u"), F.when(k % 3 == 0, "f")).alias("outcome"))
 
 
 @query("SELECT page_id, split_part(url, '?', 1) || p AS guess FROM pages, (VALUES ('/a', 1), ('/b', 2), ('/c', 3)) v(p, n) WHERE n <= page_id % 6 - 1")

@@ -54,9 +54,9 @@ def conflict_losers(t):
     return C.resolve(claim_log(t), POLICY).where("NOT won").select("entity_key", "field", "id", "reason")
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT r.entity_key, r.field, bool_or(coalesce(r.source_id <> w.source_id AND r.place IS NOT NULL AND w.value <> 0 AND abs(r.value - w.value) > 0.2 * abs(w.value), false)) AS disputed FROM ranked r JOIN ranked w ON r.entity_key = w.entity_key AND r.field = w.field AND w.rk = 1 AND w.place IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CLAIMS_SQL} SELECT r.entity_key, r.field, bool_or(coalesce(r.field = 'total' AND r.source_id <> w.source_id AND r.place IS NOT NULL AND w.value <> 0 AND abs(r.value - w.value) > 0.2 * abs(w.value), false)) AS disputed FROM ranked r JOIN ranked w ON r.entity_key = w.entity_key AND r.field = w.field AND w.rk = 1 AND w.place IS NOT NULL GROUP BY ALL")
 def conflict_disputes(t):
-    return C.disputes(C.resolve(claim_log(t), POLICY))
+    return C.disputes(C.resolve(claim_log(t), POLICY), fields=["total"])
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT entity_key, max(value) FILTER (field = 'total') AS total, max(value) FILTER (field = 'qty') AS qty FROM ranked WHERE rk = 1 AND place IS NOT NULL GROUP BY entity_key")
@@ -248,11 +248,15 @@ def population_stats(t):
     return t("orders").groupBy("o_orderpriority").agg(F.bround(F.avg(v)).cast("long").alias("mean"), F.bround(F.median(v)).cast("long").alias("med"))
 
 
-@query("SELECT event_id, CASE WHEN state = 'failed' AND attempts >= 4 THEN 'dead' WHEN state = 'failed' OR (state = 'running' AND locked_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTES) THEN 'queued' ELSE state END AS state, CASE WHEN state = 'failed' AND attempts < 4 THEN CASE least(attempts, 3) WHEN 1 THEN 2 WHEN 2 THEN 8 ELSE 30 END ELSE 0 END AS wait_s FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'done' END AS state, event_id % 5 + 1 AS attempts, ts AS locked_at FROM events)")
+@query("""WITH j AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'pending' END AS state, event_id % 5 + 1 AS attempts, ts, TIMESTAMP '2024-01-15 00:00:00' AS now FROM events),
+k AS (SELECT *, state = 'failed' AND attempts < 4 AS again, state = 'running' AND ts < now - INTERVAL 30 MINUTES AS stale FROM j)
+SELECT event_id, CASE WHEN state = 'failed' AND attempts >= 4 THEN 'dead' WHEN again OR stale THEN 'pending' ELSE state END AS state, CASE WHEN again THEN CASE attempts WHEN 1 THEN 2 WHEN 2 THEN 8 ELSE 30 END ELSE 0 END AS wait_s,
+ CASE WHEN again THEN now + INTERVAL 1 SECOND * (CASE attempts WHEN 1 THEN 2 WHEN 2 THEN 8 ELSE 30 END) ELSE ts END AS not_before, CASE WHEN state = 'running' AND NOT stale THEN 'w' END AS locked_by FROM k""")
 def queue_backoff(t):
-    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "running").otherwise("done")
-    jobs = t("events").select("event_id", state.alias("state"), (F.col("event_id") % 5 + 1).alias("attempts"), F.lit(4).alias("max_attempts"), F.col("ts").alias("locked_at"))
-    return C.queue_step(jobs, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "state", "wait_s")
+    state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "running").otherwise("pending")
+    lock = F.when(state != "pending", "w")
+    jobs = t("events").select("event_id", state.alias("state"), (F.col("event_id") % 5 + 1).alias("attempts"), F.lit(4).alias("max_attempts"), F.col("ts").alias("not_before"), lock.alias("locked_by"), F.col("ts").alias("locked_at"))
+    return C.queue_step(jobs, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "state", "wait_s", "not_before", "locked_by")
 
 
 @query("WITH d AS (SELECT user_id % 50 AS scope, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, lag(n) OVER (PARTITION BY scope ORDER BY day) AS prev FROM d) SELECT scope, day::VARCHAR AS day, n FROM p WHERE n < 0.5 * prev")
@@ -388,7 +392,7 @@ def fee_years_and_agreement(t):
 
 
 @query("""WITH s AS (SELECT c_nationkey AS k, count(*) AS total FROM customer GROUP BY 1), m AS (SELECT max(total) AS largest FROM s)
-SELECT n_name, total, CASE WHEN n_nationkey % 5 > 0 THEN round((70.0::double + n_nationkey - 68) / 29.5 * 760, 1) END AS x, CASE WHEN n_nationkey % 5 > 0 THEN round((37.5::double - 8 - n_nationkey) / 31.5 * 820, 1) END AS y, round(6 + 34 * sqrt(total / largest), 1) AS radius
+SELECT n_name, total, CASE WHEN n_nationkey % 5 > 0 THEN round_even((70.0::double + n_nationkey - 68) / 29.5 * 760, 1) END AS x, CASE WHEN n_nationkey % 5 > 0 THEN round_even((37.5::double - 8 - n_nationkey) / 31.5 * 820, 1) END AS y, round_even(6 + 34 * sqrt(total / largest), 1) AS radius
 FROM nation JOIN s ON k = n_nationkey CROSS JOIN m""")
 def map_points(t):
     per = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("total"))

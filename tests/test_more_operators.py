@@ -130,3 +130,35 @@ def test_window_and_homepage(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(enrichment.window(F.lit("abcdefghij"), F.lit("ef"), 2)) == "cdefgh" and one(enrichment.window(F.lit("abc"), F.lit("z"))) is None
     assert [one(registry_rows.homepage(F.lit(x).cast("string"))) for x in ("http:a.in", " a.in/ ", "HTTP://a.in", "", None)] == ["https://a.in", "https://a.in", "HTTP://a.in", None, None]
+
+
+def test_a_failed_job_is_claimed_again_and_dies_in_the_end(spark):
+    """Enqueue, claim, fail, wait, claim: one set of states all the way."""
+    from claimspark.operators.claims import queue_step
+
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: F.lit(t + datetime.timedelta(seconds=s)).cast("timestamp_ntz")
+    schema = "id int, state string, attempts int, max_attempts int, not_before timestamp_ntz, locked_by string, locked_at timestamp_ntz, last_error string, finished_at timestamp_ntz, dedupe_key string"
+    new = spark.createDataFrame([(1, "pending", 0, 2, t, None, None, None, None, "k"), (2, "pending", 0, 2, t, None, None, None, None, None)], schema)
+    ended = lambda *rows: spark.createDataFrame(rows, "id int, error string")
+    rows = lambda df: sorted(map(tuple, df.select("id", "state", "attempts", "locked_by", "last_error").collect()))
+    q = jobs.claim(jobs.enqueue(new.limit(0), new), at(0), "w", 2)
+    q = jobs.finish(q, ended((1, "no route"), (2, None), (7, "x")), at(1))
+    assert rows(q) == [(1, "failed", 1, None, "no route"), (2, "done", 1, None, None)]
+    q = queue_step(q, at(1)).drop("wait_s")
+    assert rows(q)[0] == (1, "pending", 1, None, "no route") and q.where("id = 1").first().not_before == t + datetime.timedelta(seconds=3)
+    assert rows(jobs.claim(q, at(2), "w"))[0][1] == "pending"
+    q = jobs.claim(q, at(3), "v")
+    assert rows(q)[0] == (1, "running", 2, "v", "no route")
+    assert rows(queue_step(q, at(3)).drop("wait_s")) == rows(q)  # its lock is fresh
+    assert rows(queue_step(q, at(3 + 1801)).drop("wait_s"))[0] == (1, "pending", 2, None, "no route")
+    q = queue_step(jobs.finish(q, ended((1, "again")), at(4)), at(4)).drop("wait_s")
+    assert rows(q)[0] == (1, "dead", 2, None, "again")
+
+
+def test_map_places_round_halves_to_even(spark):
+    from claimspark.functions import identity
+
+    n, lon = next((n, v) for n in range(1, 3040, 4) if ((v := 68 + 29.5 * n / 3040) - 68) / 29.5 * 760 == n / 4 and n % 8 == 1)  # n / 4 ends in .25, so a half of a tenth
+    x = spark.range(1).select(identity.map_point(F.lit(37.5), F.lit(lon)).alias("p"), enrichment.outcome(F.lit("s"), F.lit(200), F.lit(False), F.lit("u"), F.lit(None).cast("string")).alias("o")).first()
+    assert (x.p.x, x.o) == (n // 4 + 0.2, "found_index")

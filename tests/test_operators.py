@@ -13,7 +13,7 @@ def test_resolve_prefers_source_then_recency(spark):
     rows = [("e", "f", 1.0, "b", 9, 1), ("e", "f", 2.0, "a", 1, 2), ("e", "f", 3.0, "a", 5, 3), ("e", "f", 9.0, "z", 9, 4)]
     ranked = C.resolve(spark.createDataFrame(rows, SCHEMA), {"f": ["a", "b"]})
     assert {r.id: r.reason for r in ranked.collect()} == {3: "winner", 2: "older observation", 1: "lower priority source", 4: "source not permitted"}
-    assert C.disputes(ranked).first().disputed
+    assert C.disputes(ranked, fields=[ranked.first().field]).first().disputed and not C.disputes(ranked, fields=[]).first().disputed
 
 
 def test_resolve_without_permitted_source_has_no_winner(spark):
