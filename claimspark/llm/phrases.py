@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import BLOCKS, TEXTS, batches_of, drop_staged, stage, table
+from claimspark.llm.common import TEXTS, batches_of, drop_staged, stage, table
 
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 1_500_000
 #: The commonest words' ids go to every task: as many, of as many bytes at most.
 AT_HAND, SHORT = 65_536, 64
 BREAK = b"\n"
@@ -202,11 +202,8 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
         blocks = stage(blocks_of(docs, lang_col, text_col), "phrase-blocks")
     dictionary = dictionary_of(blocks, least)
     known = stage(ids_of_blocks(blocks, dictionary), "phrase-ids")
-    with batches_of(spark, BLOCKS):
-        keys = stage(places(blocks, known), "phrase-keys")
+    grams = stage(count_runs(places(blocks, known), least), "phrase-grams")  # keys are made once to sample their ranges, once to be sent there
     drop_staged(known)
-    grams = stage(count_runs(keys, least), "phrase-grams")
-    drop_staged(keys)
 
     size = f"CASE WHEN {IDS[2]} = 0 THEN 2 WHEN {IDS[3]} = 0 THEN 3 ELSE 4 END"
     parts = {n: ", ".join(f"struct({k} AS k, 'l' AS s, {_key(0, k)} AS p), struct({k} AS k, 'r' AS s, {_key(k, n)} AS p)" for k in range(1, n)) for n in (2, 3, 4)}
