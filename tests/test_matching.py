@@ -117,7 +117,7 @@ def test_planted_variants(spark):
     planted = {(k - 10**8, k): (k - 10**8) // 10 % 4 for k in keys if k >= 10**8}
     merged = {kind: sum(got.get(p) == "same" for p, k in planted.items() if k == kind) for kind in range(4)}
     size = {kind: sum(k == kind for k in planted.values()) for kind in range(4)}
-    found = sum(p in got for p, kind in planted.items() if kind < 2)
-    assert found / (size[0] + size[1]) >= 0.9 and merged[3] == 0  # branches are never merged
-    assert sum(p in planted for p, d in got.items() if d == "same") == sum(d == "same" for d in got.values())  # nothing else is merged
-    assert sum(p in planted for p in got) / len(got) >= 0.8  # the rest is for a person to decide
+    found = sum(p in got for p, kind in planted.items() if kind < 3)
+    assert found == size[0] + size[1] + size[2] and merged[3] == 0  # all but the branches, of which none is merged
+    same = [p for p, d in got.items() if d == "same"]
+    assert len(same) > 40 and all(p in planted for p in same)  # nothing else is merged; what is merely alike is for a person to decide
