@@ -179,7 +179,7 @@ def candidate_groups(rows: DataFrame, keys: Callable[[DataFrame], DataFrame], ti
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         other = F.explode(F.when(F.col("chunks") > 2, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(None).cast("int"))))
         dealt = near.join(hot, F.col("g") == F.col("hot"), "left").withColumn("own", own).withColumn("other", other)
-        pair = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(~1)).bitwiseOR(F.col("g").bitwiseAND(F.lit(1)))  # odd stays odd
+        pair = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(~3)).bitwiseOR(F.col("g").bitwiseAND(F.lit(3)))  # the two low bits say whose key it is
         near = dealt.withColumn("g", F.when(F.col("other").isNull(), F.col("g")).otherwise(pair)).select(*near.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
