@@ -122,14 +122,14 @@ def registry_upsert(t):
     return B.upsert(old, rows, ["id"], F.col("c_custkey"))
 
 
-@query("""WITH d AS (SELECT sha256(text) AS h, doc_id FROM documents), m AS (SELECT DISTINCT h, 1 AS v FROM d WHERE doc_id % 2 = 0),
-n AS (SELECT DISTINCT h, 1 + (doc_id % 2)::INT AS v FROM d WHERE doc_id % 3 = 0)
-SELECT h AS content_hash, v AS version FROM m UNION SELECT h, v FROM n WHERE h IN (SELECT h FROM d WHERE doc_id % 5 <> 0)""")
+@query("""WITH d AS (SELECT sha256(text) AS h, doc_id, lang FROM documents), m AS (SELECT DISTINCT h, 1 AS v FROM d WHERE lang = 'en'),
+n AS (SELECT DISTINCT h, 1 + (doc_id % 2)::INT AS v FROM d)
+SELECT h AS content_hash, v AS version FROM m UNION SELECT h, v FROM n WHERE h IN (SELECT h FROM d WHERE lang IS DISTINCT FROM 'de')""")
 def marker_inserts(t):
-    d = t("documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id")
-    old = d.where("doc_id % 2 = 0").select("content_hash", F.lit(1).alias("version")).distinct()
-    done = d.where("doc_id % 3 = 0").select("content_hash", (F.col("doc_id") % 2 + 1).cast("int").alias("version"))
-    return B.add_markers(old, done, d.where("doc_id % 5 <> 0"))
+    d = t("documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id", "lang")
+    old = d.where("lang = 'en'").select("content_hash", F.lit(1).alias("version")).distinct()
+    done = d.select("content_hash", (F.col("doc_id") % 2 + 1).cast("int").alias("version"))
+    return B.add_markers(old, done, d.where("lang IS DISTINCT FROM 'de'"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")

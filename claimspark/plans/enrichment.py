@@ -23,13 +23,13 @@ def contacts_and_paths(t):
     return t("documents").select("doc_id", N.first_email(F.col("text")).alias("email"), N.storage_path(F.sha2("text", 256)).alias("path"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS fee, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS name FROM orders WHERE o_orderkey % 4 > 0),
-b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN -o_custkey END AS fee, CASE WHEN o_orderkey % 7 > 0 THEN 'x' END AS name FROM orders WHERE o_orderkey % 6 > 0)
+@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS fee, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS name FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN -o_custkey END AS fee, CASE WHEN o_orderkey % 7 > 0 THEN 'x' END AS name FROM orders WHERE o_orderstatus <> 'O')
 SELECT k, coalesce(a.fee, b.fee) AS fee, CASE WHEN a.fee IS NOT NULL THEN 'page' WHEN b.fee IS NOT NULL THEN 'scan' END AS fee_tier, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NOT NULL THEN 'page' WHEN b.name IS NOT NULL THEN 'scan' END AS name_tier FROM a FULL JOIN b USING (k)""")
 def read_by_tiers(t):
     k, o = F.col("o_orderkey"), t("orders")
-    a = o.where("o_orderkey % 4 > 0").select(k.alias("k"), F.when(k % 2 == 0, F.col("o_custkey")).alias("fee"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("name"))
-    b = o.where("o_orderkey % 6 > 0").select(k.alias("k"), F.when(k % 5 > 0, -F.col("o_custkey")).alias("fee"), F.when(k % 7 > 0, "x").alias("name"))
+    a = o.where("o_orderstatus <> 'P'").select(k.alias("k"), F.when(k % 2 == 0, F.col("o_custkey")).alias("fee"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("name"))
+    b = o.where("o_orderstatus <> 'O'").select(k.alias("k"), F.when(k % 5 > 0, -F.col("o_custkey")).alias("fee"), F.when(k % 7 > 0, "x").alias("name"))
     return N.by_tiers([a, b], ["page", "scan"], "k", ["fee", "name"])
 
 
@@ -59,9 +59,9 @@ def visits_repaired(t):
     return N.repair_visited(institutions(t), log).select("id", "last_enriched_at")
 
 
-@query(f"WITH {INST_SQL} SELECT id, CASE WHEN NOT coalesce(last_enriched_at BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-09-01' AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0), false) THEN last_enriched_at END AS last_enriched_at FROM inst")
+@query(f"WITH {INST_SQL} SELECT id, CASE WHEN NOT coalesce(last_enriched_at BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-09-01' AND id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), false) THEN last_enriched_at END AS last_enriched_at FROM inst")
 def outage_undone(t):
-    claims = t("orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("id"))
+    claims = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
     day = lambda x: F.lit(x).cast("timestamp_ntz")
     return N.undo_outage(institutions(t), claims, day("1995-03-01"), day("1995-09-01")).select("id", "last_enriched_at")
 

@@ -117,10 +117,10 @@ def distinct_on_best(t):
     return t("lineitem").withColumn("rn", rn).where("rn = 1").select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
 
 
-@query("""WITH s AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages WHERE page_id % 3 = 0), hit AS (SELECT page_id, site, count(*) OVER (PARTITION BY page_id) AS n FROM pages JOIN s ON contains(lower(url), lower(site)))
+@query("""WITH s AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages), hit AS (SELECT page_id, site, count(*) OVER (PARTITION BY page_id) AS n FROM pages JOIN s ON contains(lower(url), lower(site)))
 SELECT page_id, site FROM hit WHERE n = 1""")
 def unique_attribution(t):
-    sites = t("pages").where("page_id % 3 = 0").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")).distinct()
+    sites = t("pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")).distinct()
     return C.attributed_once(t("pages"), sites, "page_id", "url", "site")
 
 

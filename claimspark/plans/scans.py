@@ -38,7 +38,7 @@ def scan_fees(t):
     return B.fees_of_scans(b.select("k"), B.rows_of_boxes(b, "k"), "k")
 
 
-#: Every customer is a row of a registry; the earlier snapshot lacks every 17th, the later one every 19th.
+#: Every customer is a row of a registry; the earlier snapshot lacks those of one nation, the later one those of another.
 _OLD = {
     "level": "CASE WHEN k % 6 = 1 THEN 'Senior Secondary' WHEN k % 6 = 2 THEN 'College' ELSE 'Secondary' END", "principal": "CASE WHEN k % 4 = 2 THEN NULL ELSE concat('Dr. A ', n) END",
     "address": "concat('12, M.G. Road, ', n)", "legal_entity": "concat('Trust ', k % 300, ' Society')",
@@ -49,8 +49,8 @@ _NEW = {
 }
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, c_name AS n FROM customer), o AS (SELECT k, {", ".join(f"{v} AS {c}" for c, v in _OLD.items())} FROM c WHERE k % 17 > 0), w AS (SELECT k, {", ".join(f"{v} AS {c}" for c, v in _NEW.items())} FROM c WHERE k % 19 > 0),
-x AS (SELECT *, k % 17 = 0 AS came, k % 17 > 0 AND k % 19 > 0 AS stays FROM c WHERE k % 17 > 0 OR k % 19 > 0), known AS (SELECT DISTINCT k % 300 AS e FROM c WHERE k % 17 > 0)
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey AS p FROM customer), o AS (SELECT k, {", ".join(f"{v} AS {c}" for c, v in _OLD.items())} FROM c WHERE p <> 7), w AS (SELECT k, {", ".join(f"{v} AS {c}" for c, v in _NEW.items())} FROM c WHERE p <> 9),
+x AS (SELECT *, p = 7 AS came, p NOT IN (7, 9) AS stays FROM c), known AS (SELECT DISTINCT k % 300 AS e FROM c WHERE p <> 7)
 SELECT k, 'new_campus' AS signal_type, NULL::VARCHAR AS before, w.legal_entity AS after FROM x JOIN w USING (k) WHERE came AND k % 3 > 0 AND k % 300 IN (SELECT e FROM known)
 UNION ALL SELECT k, 'new_affiliation', NULL, NULL FROM x WHERE came AND NOT (k % 3 > 0 AND k % 300 IN (SELECT e FROM known))
 UNION ALL SELECT k, 'disaffiliation', NULL, NULL FROM x WHERE NOT came AND NOT stays
@@ -58,6 +58,6 @@ UNION ALL SELECT k, 'level_upgrade', o.level, w.level FROM x JOIN o USING (k) JO
 UNION ALL SELECT k, 'principal_change', o.principal, w.principal FROM x JOIN o USING (k) JOIN w USING (k) WHERE stays AND k % 4 = 1
 UNION ALL SELECT k, 'address_change', o.address, w.address FROM x JOIN o USING (k) JOIN w USING (k) WHERE stays AND k % 5 = 1""")
 def registry_signals(t):
-    c = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
-    shot = lambda columns, gone: c.where(F.col("k") % gone > 0).select("k", *[F.expr(v).alias(x) for x, v in columns.items()])
-    return D.signals(shot(_OLD, 17), shot(_NEW, 19), "k")
+    c = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"), F.col("c_nationkey").alias("p"))
+    shot = lambda columns, gone: c.where(F.col("p") != gone).select("k", *[F.expr(v).alias(x) for x, v in columns.items()])
+    return D.signals(shot(_OLD, 7), shot(_NEW, 9), "k")
