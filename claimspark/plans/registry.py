@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimspark.plans import build, discovery, enrichment, extraction, matching, registries, registry_pages, scans, served, spans  # noqa: F401 - adds its queries
+from claimspark.plans import build, discovery, enrichment, extraction, groups, matching, registries, registry_pages, scans, served, spans  # noqa: F401 - adds its queries
 from claimspark.plans.queries import ORACLE, QUERIES, flagship
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from claimspark.plans import build, discovery, enrichment, extraction, matching, registries, registry, registry_pages, scans, served, spans
+from claimspark.plans import build, discovery, enrichment, extraction, groups, matching, registries, registry, registry_pages, scans, served, spans
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for m in (served, build, extraction, registries, enrichment, matching, discovery, registry_pages, scans, spans) for n in vars(m) if n in registry.ORACLE and vars(m)[n].__module__ == m.__name__]
+NAMES = [n for m in (served, build, extraction, registries, enrichment, matching, discovery, registry_pages, scans, spans, groups) for n in vars(m) if n in registry.ORACLE and vars(m)[n].__module__ == m.__name__]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not there")
 
 
