@@ -54,9 +54,9 @@ def conflict_losers(t):
     return C.resolve(claim_log(t), POLICY).where("NOT won").select("entity_key", "field", "id", "reason")
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT r.entity_key, r.field, bool_or(coalesce(r.field = 'total' AND r.source_id <> w.source_id AND r.place IS NOT NULL AND w.value <> 0 AND abs(r.value - w.value) > 0.2 * abs(w.value), false)) AS disputed FROM ranked r JOIN ranked w ON r.entity_key = w.entity_key AND r.field = w.field AND w.rk = 1 AND w.place IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CLAIMS_SQL} SELECT r.entity_key, r.field, bool_or(coalesce(r.source_id <> w.source_id AND r.place IS NOT NULL AND w.value <> 0 AND abs(r.value - w.value) > 0.2 * abs(w.value), false)) AS disputed FROM ranked r JOIN ranked w ON r.entity_key = w.entity_key AND r.field = w.field AND w.rk = 1 AND w.place IS NOT NULL GROUP BY ALL")
 def conflict_disputes(t):
-    return C.disputes(C.resolve(claim_log(t), POLICY), fields=["total"])
+    return C.disputes(C.resolve(claim_log(t), POLICY), fields=list(POLICY))
 
 
 @query(f"WITH {CLAIMS_SQL} SELECT entity_key, max(value) FILTER (field = 'total') AS total, max(value) FILTER (field = 'qty') AS qty FROM ranked WHERE rk = 1 AND place IS NOT NULL GROUP BY entity_key")

@@ -1,3 +1,5 @@
+import datetime
+
 import __spark_entry__ as e
 
 
@@ -23,3 +25,11 @@ def test_denylist_reads_the_whole_url_and_no_page_text(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.pattern for r in e.queries()["denylist"](spark, str(tmp_path)).collect()}
     assert got == {1: "topper", 2: None, 3: "award", 4: None}
+
+
+def test_disputes_are_looked_for_in_every_field(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, 5, "F", 100.0, at, "1-URGENT"), (2, 5, "F", 101.0, at, "2-HIGH"), (6, 5, "F", 100.0, at, "5-LOW"), (8, 6, "F", 100.0, at, "1-URGENT"), (9, 6, "F", 200.0, at, "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = e.queries()["conflict_disputes"](spark, str(tmp_path))
+    assert {(r.entity_key, r.field): r.disputed for r in got.collect()} == {("c:5", "total"): False, ("c:5", "qty"): True, ("c:6", "total"): True, ("c:6", "qty"): False}
