@@ -76,7 +76,8 @@ def candidate_pairs(rows: DataFrame, tile: int = 2000) -> DataFrame:
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         side = lambda df, p: df.select("meet", "tile", *[F.col(c).alias(f"{p}_{c}") for c in columns])
-        pairs = side(left, "a").join(side(right, "b"), ["meet", "tile"]).where("a_key < b_key")
+        # sides are many times their small table once dealt out, which its size on disk doesn't tell: never sent whole by the driver
+        pairs = side(left, "a").join(side(right, "b").hint("merge"), ["meet", "tile"]).where("a_key < b_key")
         own_tile = (F.least("a_own", "b_own") == F.col("tile.i")) & (F.greatest("a_own", "b_own") == F.col("tile.j"))  # rows of one chunk meet in its own tile alone
         return pairs.where(own_tile & (F.element_at(F.array_intersect("a_blocks", "b_blocks"), 1) == F.col("a_block")))
 
