@@ -113,7 +113,8 @@ def first_role_and_boards(t):
 
 @query("SELECT l_orderkey, l_returnflag, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount DESC, l_shipdate DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def distinct_on_best(t):
-    rn = F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(F.desc("l_discount"), F.desc("l_shipdate"), "l_linenumber"))
+    order = [F.desc("l_discount"), F.desc("l_shipdate"), "l_linenumber", F.desc("l_extendedprice")]  # the price last, so that a tie of the SQL's order has one answer
+    rn = F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*order))
     return t("lineitem").withColumn("rn", rn).where("rn = 1").select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
 
 

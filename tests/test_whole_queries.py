@@ -33,3 +33,12 @@ def test_disputes_are_looked_for_in_every_field(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = e.queries()["conflict_disputes"](spark, str(tmp_path))
     assert {(r.entity_key, r.field): r.disputed for r in got.collect()} == {("c:5", "total"): False, ("c:5", "qty"): True, ("c:6", "total"): True, ("c:6", "qty"): False}
+
+
+def test_best_lines_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, "A", 2, 10.0, 0.1, at), (1, "A", 2, 30.0, 0.1, at), (1, "A", 2, 20.0, 0.1, at), (1, "A", 1, 5.0, 0.0, at)]
+    for name, given in (("up", rows), ("down", rows[::-1])):
+        df = spark.createDataFrame(given, "l_orderkey long, l_returnflag string, l_linenumber int, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        assert [tuple(r) for r in e.queries()["distinct_on_best"](spark, f"{tmp_path}/{name}").collect()] == [(1, "A", 2, 30.0)]
