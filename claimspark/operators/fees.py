@@ -1,12 +1,12 @@
 """Sums and headcounts out of tables of pages: rows (key, table_ix, row_ix, cells) to one value for each key, with the row it stands in.
 
-A number counts only in a table that says what it is about. Rows are joined to what their table is found to be, and the
+A number counts only in a table that says what it is about. Rows are given what their table is found to be, and the
 rest are aggregations over (key) and (key, label); no table is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.identity import squash
@@ -26,11 +26,13 @@ def numbers(cell: Column) -> Column:
 
 
 def _largest(cells: Column, low: int, high: int) -> Column:
-    return F.array_max(F.filter(F.flatten(F.transform(cells, numbers)), lambda n: n.between(low, high)))
+    """Of all cells as one text: no number, address or escape reaches over the blanks between them."""
+    return F.array_max(F.filter(numbers(F.array_join(cells, " | ")), lambda n: n.between(low, high)))
 
 
 def _any(cells: Column, aliases: list[str]) -> Column:
-    return F.exists(cells, lambda c: has_label(F.coalesce(c, F.lit("")), aliases))
+    """All cells as one text again, put together by a character that no alias holds."""
+    return has_label(F.array_join(cells, "\x01"), aliases)
 
 
 def _text(cells: Column) -> Column:
@@ -51,30 +53,41 @@ def table_facts(rows: DataFrame, key: str, labels: dict[str, list[str]]) -> Data
 def annual_fee(rows: DataFrame, key: str, labels: dict[str, list[str]]) -> DataFrame:
     """(key, fee, evidence). Instalments in tables of their own are added up for a label that all of them have; else the largest plausible
     sum of a row of class 12; else the largest of any row. Under a column of totals only that column counts; a row labelled as the
-    total counts whole."""
-    all_ = rows.where(F.size("cells") > 0).join(table_facts(rows, key, labels), [key, "table_ix"]).where("is_fee")
-    head, rest = F.element_at("cells", 1), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
-
-    parts = all_.where("is_part")
-    n = parts.groupBy(key).agg(F.countDistinct("table_ix").alias("parts")).where("parts > 1")
-    lines = parts.select(key, "table_ix", "row_ix", squash(F.coalesce(head, F.lit(""))).alias("label"), _largest(rest, *PLAUSIBLE_FEE).alias("v")).where("v IS NOT NULL AND label <> '' AND NOT label RLIKE '^[0-9]+$'")
-    sums = lines.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min(F.struct("table_ix", "row_ix")).alias("at"))
-    whole = sums.join(n, key).where("n = parts").withColumn("upper", has_label(F.col("label"), labels["class_12"]))
-    best = F.struct("upper", "total", (-F.col("at.table_ix")).alias("t"), (-F.col("at.row_ix")).alias("r"))
-    summed = whole.groupBy(key).agg(F.max_by(F.struct(F.col("total").alias("fee"), F.concat_ws(" ", "label", F.col("total").cast("string")).alias("evidence")), best).alias("s"))
+    total counts whole. Rows are read and shuffled once, by key; what their table is, is a window, the rest are aggregations above it."""
+    there = rows.where(F.size("cells") > 0).repartition(key)
+    near = lambda n, name: (F.col("row_ix") < n) & _any(F.col("cells"), labels[name])
+    heads = F.transform("cells", lambda c, i: F.when(has_label(F.coalesce(c, F.lit("")), labels["fee_total_column"]), i + 1))
+    said = there.withColumns({
+        "fee_": (F.col("row_ix") < 12) & (_any(F.col("cells"), labels["fee"]) | _any(F.col("cells"), labels["fee_total_row"])), "result_": near(4, "result"), "part_": near(3, "instalment"),
+        "total_": F.when(F.col("row_ix") == 0, F.array_min(F.array_compact(heads))),
+    })
+    table = Window.partitionBy(key, "table_ix")
+    facts = {"is_fee": "fee_", "is_result": "result_", "is_part": "part_", "total_at": "total_"}
+    all_ = said.withColumns({n: F.max(c).over(table) for n, c in facts.items()} | {"first": F.row_number().over(table.orderBy("row_ix")) == 1}).where("is_fee")
 
-    money = all_.where(~F.col("is_result") & ~_any(F.slice("cells", 1, 2), labels["not_money"]))
+    head, rest = F.element_at("cells", 1), F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
     under = F.when(F.col("total_at").isNotNull() & (F.col("total_at") <= F.size("cells")), F.slice("cells", F.col("total_at"), 1)).otherwise(F.col("cells"))
+    counts = ~F.col("is_result") & ~_any(F.slice("cells", 1, 2), labels["not_money"])
     row = F.when((F.col("row_ix") > 0) | F.col("total_at").isNull(), _largest(under, *PLAUSIBLE_FEE))
     named = F.when(has_label(F.coalesce(head, F.lit("")), labels["fee_total_row"]), _largest(rest, *PLAUSIBLE_FEE))
-    value = money.select(key, "table_ix", "row_ix", _text(F.col("cells")).alias("evidence"), row.alias("row"), F.greatest(row, named).alias("v"), _any(F.col("cells"), labels["class_12"]).alias("upper")).where("v IS NOT NULL")
-    first = lambda v: F.struct(F.col(v), (-F.col("table_ix")).alias("t"), (-F.col("row_ix")).alias("r"))
-    is12 = F.col("upper") & F.col("row").isNotNull()
-    picked = value.groupBy(key).agg(
-        F.max_by(F.when(is12, F.struct(F.col("row").alias("fee"), "evidence")), F.when(is12, first("row"))).alias("c"), F.max_by(F.struct(F.col("v").alias("fee"), "evidence"), first("v")).alias("b"),
+    read = all_.select(
+        key, "table_ix", "row_ix", (F.col("first") & F.col("is_part")).cast("int").alias("part"), F.when(F.col("is_part"), squash(F.coalesce(head, F.lit("")))).alias("label"), F.when(F.col("is_part"), _largest(rest, *PLAUSIBLE_FEE)).alias("sum"),
+        _text(F.col("cells")).alias("evidence"), F.when(counts, row).alias("row"), F.when(counts, named).alias("named"), _any(F.col("cells"), labels["class_12"]).alias("upper"),
+    )
+    usable = (F.col("sum").isNotNull()) & (F.col("label") != "") & ~F.col("label").rlike("^[0-9]+$")
+    read = read.withColumns({"label": F.when(usable, F.col("label")), "v": F.greatest("row", "named")})
+    place = ((-F.col("table_ix")).alias("t"), (-F.col("row_ix")).alias("r"))
+    best = lambda v: F.struct(F.col(v).alias("fee"), *place, "evidence")  # noqa: E731 - the greatest is the largest, then the first in the page
+    by_label = read.groupBy(key, "label").agg(
+        F.sum("part").alias("parts"), F.count("label").alias("n"), F.sum(F.when(usable, F.col("sum"))).alias("total"), F.min(F.struct("table_ix", "row_ix")).alias("at"),
+        F.max(F.when(F.col("upper") & F.col("row").isNotNull(), best("row"))).alias("c"), F.max(F.when(F.col("v").isNotNull(), best("v"))).alias("b"),
     )
-    out = summed.join(picked, key, "full_outer").select(key, F.coalesce("s", "c", "b").alias("f"))
-    return out.select(key, "f.fee", "f.evidence")
+    whole = by_label.withColumn("parts", F.sum("parts").over(Window.partitionBy(key))).withColumn("upper", has_label(F.col("label"), labels["class_12"]))
+    sum_of_all = F.struct("upper", "total", (-F.col("at.table_ix")).alias("t"), (-F.col("at.row_ix")).alias("r"), F.concat_ws(" ", "label", F.col("total").cast("string")).alias("evidence"))
+    complete = F.col("label").isNotNull() & (F.col("parts") > 1) & (F.col("n") == F.col("parts"))
+    out = whole.groupBy(key).agg(F.max(F.when(complete, sum_of_all)).alias("s"), F.max("c").alias("c"), F.max("b").alias("b"))
+    of = lambda x, fee: F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}.{fee}").alias("fee"), F.col(f"{x}.evidence").alias("evidence")))
+    return out.select(key, F.coalesce(of("s", "total"), of("c", "fee"), of("b", "fee")).alias("f")).where("f IS NOT NULL").select(key, "f.fee", "f.evidence")
 
 
 def class_12_total(rows: DataFrame, key: str, labels: dict[str, list[str]]) -> DataFrame:
