@@ -235,15 +235,18 @@ def detail_claims(pages: DataFrame, key: str, html: str) -> DataFrame:
     known = rows.where((F.size("cells") >= 2) & value.isNotNull()).select("key", "row_ix", label.alias("label"), value.alias("value"), F.trim(_cell(1)).alias("shown"))
     names = F.create_map(*[F.lit(x) for kv in DETAIL_FIELDS.items() for x in kv])
     known = known.withColumn("field", F.element_at(names, F.col("label"))).where("field IS NOT NULL").groupBy("key", "field").agg(F.max_by(F.struct("value", "shown"), "row_ix").alias("x"))
-    own = known.select("key", "field", F.col("x.value").alias("value"), F.concat_ws(": ", "x.shown", "x.value").alias("evidence"))
-    gate = known.where("field = 'grade_high'").select("key", F.lit("has_class_12").alias("field"), F.when(F.col("x.value") == SENIOR, "true").otherwise("false").alias("value"), F.concat(F.lit("Status of the School: "), "x.value").alias("evidence"))
+    of = lambda field, value, evidence: F.struct(field.alias("field"), value.alias("value"), evidence.alias("evidence"))
+    own = of(F.col("field"), F.col("x.value"), F.concat_ws(": ", "x.shown", "x.value"))
+    gate = of(F.lit("has_class_12"), F.when(F.col("x.value") == SENIOR, "true").otherwise("false"), F.concat(F.lit("Status of the School: "), "x.value"))
+    said = F.explode(F.when(F.col("field") == "grade_high", F.array(own, gate)).otherwise(F.array(own)))  # both of one reading of the page
+    own = known.select("key", said.alias("c")).select("key", "c.*")
     period = r"(?i)From\s*:?\s*(\d{2}/\d{2}/\d{4})\s*To\s*:?\s*(\d{2}/\d{2}/\d{4})"
     text = page_text(F.col(html))
     dates = pages.select(F.col(key).alias("key"), empty_to_null(F.regexp_extract(text, period, 1)).alias("start"), F.regexp_extract(text, period, 2).alias("end")).where("start IS NOT NULL")
-    said = F.concat(F.lit("Affiliation Period: From "), "start", F.lit(" To "), "end")
+    stated = F.concat(F.lit("Affiliation Period: From "), "start", F.lit(" To "), "end")
     pair = F.explode(F.array(F.struct(F.lit("board_valid_from").alias("field"), F.col("start").alias("value")), F.struct(F.lit("board_valid_to").alias("field"), F.col("end").alias("value"))))
-    dates = dates.select("key", pair.alias("p"), said.alias("evidence")).select("key", "p.field", "p.value", "evidence")
-    return own.unionByName(gate).unionByName(dates).withColumnRenamed("key", key)
+    dates = dates.select("key", pair.alias("p"), stated.alias("evidence")).select("key", "p.field", "p.value", "evidence")
+    return own.unionByName(dates).withColumnRenamed("key", key)
 
 
 def _claims(rows: DataFrame, entity: Column, said: list[tuple[str, Column, Column]]) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import re
 
+import __spark_entry__ as e
 from claimspark.operators import fees
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -16,3 +19,7 @@ def test_fees_read_their_rows_once(spark, tmp_path):
     df = fees.annual_fee(spark.read.parquet(f"{tmp_path}/rows"), "k", labels)
     assert len(re.findall("FileScan parquet", plan(df))) == 1
     assert [(r.k, r.fee, r.evidence) for r in df.collect()] == [("a", 9000, "Class 1 9,000")]
+
+
+def test_details_parse_their_pages_once(spark):
+    assert len(re.findall(r"EvalPythonUDTF", plan(e.queries()["registry_details"](spark, SF)))) == 1
