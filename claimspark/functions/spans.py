@@ -21,16 +21,16 @@ def name_after_label(text: Column, label: str = HEAD_LABEL, no_name: str = NO_NA
 
     ``given`` stands in the text from ``start`` on (characters, from 0), ``name`` is its normal form, ``evidence`` is cut around it at the same
     offsets. A label that is followed by one of ``no_name`` decides: no later one is looked at, as no name is better than a wrong one."""
-    whole = rf"(?isU)^(.*?)({label})(.{{0,{REACH}}})"
-    part = lambda i: F.regexp_extract(text, whole, i)
+    met = F.regexp_extract(text, rf"(?isU)(?:{label}).{{0,{REACH}}}", 0)  # found from left to right once; what follows looks at these few characters alone
+    part = lambda i: F.regexp_extract(met, rf"(?isU)^({label})(.{{0,{REACH}}})", i)
     near = rf"(?sU)^(.*?)({NAME})"
-    before, given = F.regexp_extract(part(3), near, 1), F.regexp_extract(part(3), near, 2)
-    start = F.char_length(part(1)) + F.char_length(part(2)) + F.char_length(before)
+    before, given = F.regexp_extract(part(2), near, 1), F.regexp_extract(part(2), near, 2)
+    start = F.instr(text, met) - 1 + F.char_length(part(1)) + F.char_length(before)  # no label begins before it, so neither does its text
     low = F.greatest(start - AROUND, F.lit(0))
     window = F.substring(text, low + 1, start - low + F.char_length(given) + AROUND)
     evidence = F.trim(F.regexp_replace(window, r"(?U)\s+", " "))
     found = F.struct(normalize_person(given).alias("name"), given.alias("given"), start.alias("start"), evidence.alias("evidence"))
-    return F.when((part(2) != "") & (given != "") & ~part(3).rlike(f"(?iU){no_name}") & normalize_person(given).isNotNull(), found)
+    return F.when((part(1) != "") & (given != "") & ~part(2).rlike(f"(?iU){no_name}") & normalize_person(given).isNotNull(), found)
 
 
 def percent_encoded(text: Column, safe: str) -> Column:

@@ -18,7 +18,9 @@ n AS (SELECT *, regexp_extract(p.r, $$(?s)^(.*?)({S.NAME})$$, ['b', 'n']) AS q F
 o AS (SELECT *, length(p.b) + length(p.l) + length(q.b) AS start FROM n WHERE q.n <> '')
 SELECT doc_id, q.n AS given, start::INT AS start, trim(regexp_replace(substr(t, greatest(start - 60, 0) + 1, least(start, 60) + length(q.n) + 60), '\\s+', ' ', 'g')) AS evidence FROM o""")
 def names_after_labels(t):
-    return t("documents").select("doc_id", S.name_after_label(F.expr(_TEXT)).alias("p")).where("p IS NOT NULL").select("doc_id", "p.given", "p.start", "p.evidence")
+    found = t("documents").select("doc_id", F.expr(_TEXT).alias("text")).select("doc_id", S.name_after_label(F.col("text")).alias("p"))
+    found = found.select("doc_id", F.explode(F.array_compact(F.array("p"))).alias("p"))  # a filter would be pushed below and read each text again
+    return found.select("doc_id", "p.given", "p.start", "p.evidence")
 
 
 _URL = "concat(CASE WHEN page_id % 2 = 0 THEN ' HTTPS' ELSE 'http' END, substr(url, position('://' IN url)), '/md/C1.FEE STRUCTURE (é).pdf', CASE page_id % 3 WHEN 0 THEN '?a b=ü&c=%20#end' WHEN 1 THEN '#x y' ELSE '?' END)"

@@ -23,3 +23,18 @@ def test_fees_read_their_rows_once(spark, tmp_path):
 
 def test_details_parse_their_pages_once(spark):
     assert len(re.findall(r"EvalPythonUDTF", plan(e.queries()["registry_details"](spark, SF)))) == 1
+
+
+def test_names_are_looked_for_once(spark):
+    text = plan(e.queries()["names_after_labels"](spark, SF))
+    assert not any("Filter" in line and "regexp_extract" in line for line in text.splitlines())
+
+
+def test_names_after_signs_of_two_units(spark):
+    from pyspark.sql import functions as F
+
+    from claimspark.functions.spans import name_after_label
+
+    df = spark.createDataFrame([("😀😀 Principal: Asha Rao, the principal's page",)], "t string")
+    r = df.select(name_after_label(F.col("t")).alias("p")).first().p
+    assert (r.given, r.start) == ("Asha Rao", 14)
