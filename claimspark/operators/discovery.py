@@ -12,14 +12,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.fuzzy import name_on_page
 from claimspark.operators.registry_rows import homepage
 from claimspark.operators.staging import staged
-from claimspark.sources.pages import DISCLOSURE, is_disclosure_page, is_login_wall
+from claimspark.sources.pages import DISCLOSURE, by_page, is_disclosure_page, is_login_wall
 
 # Visits for each institution, the paths that are guessed, in order, and what the row of the fees is called.
 BUDGET = 6
@@ -83,25 +82,20 @@ def links_in_rows(pages: DataFrame, key: str, html: str, base: str) -> DataFrame
     made absolute against the ``base`` column. Addresses that are none go."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, h, at in zip(b["k"], b["h"], b["b"], strict=True):
-                reader = _Links()
-                reader.feed(h if isinstance(h, str) else "")
-                reader.close()
-                for place, (href, label, rows) in enumerate(reader.links):
-                    try:
-                        url = urljoin(at or "", href)
-                    except ValueError:
-                        continue
-                    out += [(k, place, url, href, " ".join(label), r, None if r is None else " ".join(reader.rows[r])) for r in rows or [None]]
-            frame = pd.DataFrame(out, columns=["k", "place", "url", "href", "label", "row_ix", "row_text"])
-            frame["row_ix"] = frame["row_ix"].astype("Int32")
-            yield frame
+    def links(k: object, h: str | None, at: str | None) -> Iterator[tuple]:
+        reader = _Links()
+        reader.feed(h or "")
+        reader.close()
+        for place, (href, label, rows) in enumerate(reader.links):
+            try:
+                url = urljoin(at or "", href)
+            except ValueError:
+                continue
+            for r in rows or [None]:
+                yield k, place, url, href, " ".join(label), r, None if r is None else " ".join(reader.rows[r])
 
     slim = pages.select(F.col(key).alias("k"), F.col(html).alias("h"), F.col(base).alias("b"))
-    return slim.mapInPandas(run, f"k {kind}, place int, url string, href string, label string, row_ix int, row_text string").withColumnRenamed("k", key)
+    return by_page(slim, links, f"k {kind}, place int, url string, href string, label string, row_ix int, row_text string").withColumnRenamed("k", key)
 
 
 def disclosure_targets(links: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,34 +96,54 @@ def _read(html: str | None) -> _Reader:
     return reader
 
 
+def by_page(pages: DataFrame, read: Callable[..., Iterable[tuple]], schema: str, chunk: int = 1 << 20) -> DataFrame:
+    """The rows that ``read`` makes of each page, called with its columns. Pages of a batch become Python texts one at a time, and rows are
+    handed on after ``chunk`` characters or so, so what a worker holds beside the batch doesn't grow with the pages or their rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = [], 0
+            for i in range(b.num_rows):
+                for row in read(*(c[i].as_py() for c in b.columns)):
+                    rows.append(row)
+                    size += 64 + sum(len(x) for x in row if isinstance(x, str))
+                    if size >= chunk:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+    return pages.mapInArrow(run, schema)
+
+
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, table_ix, row_ix, cells) of every row of every table; one pass. A page without tables has no rows."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, t, r, [" ".join(c) for c in cells]) for k, h in zip(b["k"], b["h"], strict=True) for t, r, cells in _read(h).rows]
-            yield pd.DataFrame(rows, columns=["k", "table_ix", "row_ix", "cells"])
+    def rows(k: object, h: str | None) -> Iterator[tuple]:
+        return ((k, t, r, [" ".join(c) for c in cells]) for t, r, cells in _read(h).rows)
 
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, table_ix int, row_ix int, cells array<string>").withColumnRenamed("k", key)
+    return by_page(pages.select(F.col(key).alias("k"), F.col(html).alias("h")), rows, f"k {kind}, table_ix int, row_ix int, cells array<string>").withColumnRenamed("k", key)
 
 
 def html_links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
     """(key, url, label) of every anchor, made absolute against the ``base`` column."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, h, at in zip(b["k"], b["h"], b["b"], strict=True):
-                for href, label in _read(h).links:
-                    try:
-                        rows.append((k, urljoin(f"{at or ''}/", href), href, label))
-                    except ValueError:  # no address at all, such as an unclosed [
-                        continue
-            yield pd.DataFrame(rows, columns=["k", "url", "href", "label"])
-
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h"), F.col(base).alias("b")).mapInPandas(run, f"k {kind}, url string, href string, label string")
+    def links(k: object, h: str | None, at: str | None) -> Iterator[tuple]:
+        for href, label in _read(h).links:
+            try:
+                yield k, urljoin(f"{at or ''}/", href), href, label
+            except ValueError:  # no address at all, such as an unclosed [
+                continue
+
+    out = by_page(pages.select(F.col(key).alias("k"), F.col(html).alias("h"), F.col(base).alias("b")), links, f"k {kind}, url string, href string, label string")
     return out.withColumnRenamed("k", key)
 
 

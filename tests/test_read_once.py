@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__ as e
+from claimspark.operators import discovery as D
 from claimspark.operators import fees
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,11 @@ def test_names_after_signs_of_two_units(spark):
     df = spark.createDataFrame([("😀😀 Principal: Asha Rao, the principal's page",)], "t string")
     r = df.select(name_after_label(F.col("t")).alias("p")).first().p
     assert (r.given, r.start) == ("Asha Rao", 14)
+
+
+def test_links_leave_a_page_as_they_are_read(spark):
+    html = "<table><tr>" + "".join(f"<td><a href='/{i}'>{i}</a>" for i in range(300)) + "</table>"
+    df = D.links_in_rows(spark.createDataFrame([(1, html, "http://a.org/"), (2, None, None)], "k long, html string, at string"), "k", "html", "at")
+    got = df.collect()
+    assert [(r.place, r.url, r.row_ix) for r in got] == [(i, f"http://a.org/{i}", 0) for i in range(300)]
+    assert "MapInPandas" not in plan(df)
