@@ -3,8 +3,8 @@
 Texts become blocks of word numbers, each block with a dictionary of its own; the blocks' dictionaries are joined with
 that of the corpus, so a word travels once for each block that holds it, not once for each place. Words below ``least``
 break the pieces: no phrase that counts can hold one. Every place gives one key of fixed width, the four ids from there on
-(two longs of two ids each, zero where the piece ends), so the phrases of two, three and four words that begin there
-are the key's prefixes. Each block's keys are put in order by radix sort and added up by run length; the runs are
+(two longs of two ids each, zero where the piece ends; an id has as many bits as the largest needs, so that little is sent), so the
+phrases of two, three and four words that begin there are the key's prefixes. Each block's keys are put in order by radix sort and added up by run length; the runs are
 partitioned by range, sorted, and counted by run length again, for each prefix length, with nothing but the open run in
 memory. Only the first and last run of a partition can go on in another one; they are added up by key.
 
@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import TEXTS, batches_of, drop_staged, stage, table
 
-BLOCK_TOKENS = 1_500_000
+#: Places of a block, and how many times as many a task holds of all langs together.
+BLOCK_TOKENS, HELD = 1_500_000, 4
 #: The commonest words' ids go to every task: as many, of as many bytes at most.
 AT_HAND, SHORT = 65_536, 64
 BREAK = b"\n"
@@ -45,21 +47,34 @@ class _Numbers(dict):
         return n
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Word numbers as bytes: those of one weight stand together, most of the higher ones are zero."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(codes: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(codes, decompressed_size=4 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def blocks_of(docs: DataFrame, lang_col: str, text_col: str, tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(block, lang, words, counts, codes): word numbers of about ``tokens`` places of one lang. One pass, no shuffle."""
+    """(block, lang, words, counts, size, codes): word numbers of about ``tokens`` places of one lang. One pass, no shuffle. A lang's block
+    ends when it is full, or when it is the largest of more than a task is to hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        size, made = 0, TaskContext.get().partitionId() << 32
-
-        def rows() -> Iterator[pd.DataFrame]:
-            nonlocal made
-            for lang, (numbers, parts) in held.items():
-                codes, words = np.concatenate(parts), list(numbers)[1:]
-                if words:
-                    made += 1
-                    counts = np.bincount(codes, minlength=len(words) + 1)[1:]
-                    yield pd.DataFrame({"block": [made], "lang": [lang], "words": [words], "counts": [counts], "codes": [codes.astype("<u4").tobytes()]})
+        sizes: dict[str, int] = {}
+        total, made = 0, TaskContext.get().partitionId() << 32
+
+        def rows(lang: str) -> Iterator[pd.DataFrame]:
+            nonlocal total, made
+            numbers, parts = held.pop(lang)
+            total -= sizes.pop(lang)
+            codes, words = np.concatenate(parts), list(numbers)[1:]
+            if words:
+                made += 1
+                counts = np.bincount(codes, minlength=len(words) + 1)[1:]
+                yield pd.DataFrame({"block": [made], "lang": [lang], "words": [words], "counts": [counts], "size": [len(codes)], "codes": [packed(codes)]})
 
         for b in batches:
             for lang, text in zip(b["l"], b["t"], strict=True):
@@ -67,14 +82,17 @@ def blocks_of(docs: DataFrame, lang_col: str, text_col: str, tokens: int = BLOCK
                 words = list(filter(None, (text or "").encode(errors="replace").translate(_AS).replace(BREAK, b" \n ").split(b" ")))
                 parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
                 parts.append(np.zeros(1, dtype=np.uint32))
-                size += len(words)
-                if size >= tokens:
-                    yield from rows()
-                    held, size = {}, 0
-        yield from rows()
+                sizes[lang] = sizes.get(lang, 0) + len(words) + 1
+                total += len(words) + 1
+                if sizes[lang] >= tokens:
+                    yield from rows(lang)
+                elif total >= HELD * tokens:
+                    yield from rows(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield from rows(lang)
 
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("l"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(run, "block long, lang string, words array<binary>, counts array<long>, codes binary")
+    return slim.mapInPandas(run, "block long, lang string, words array<binary>, counts array<long>, size int, codes binary")
 
 
 def dictionary_of(blocks: DataFrame, least: int) -> DataFrame:
@@ -89,11 +107,17 @@ def dictionary_of(blocks: DataFrame, least: int) -> DataFrame:
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     out = stage(rows.join(before, "part").select("lang", "word", "c", (F.col("before") + F.col("at") + 1).alias("id")), "phrase-dictionary")
     drop_staged(rows)
-    if (out.agg(F.max("id")).first()[0] or 0) >= 1 << 31:
-        raise ValueError("more frequent words than a key of fixed width has room for")
     return out
 
 
+def width_of(dictionary: DataFrame) -> int:
+    """Bits of the largest id."""
+    width = int(dictionary.agg(F.max("id")).first()[0] or 0).bit_length()
+    if width > 31:
+        raise ValueError("more frequent words than a key of fixed width has room for")
+    return width
+
+
 def ids_of_blocks(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(block, known): number in the block and id of each word that the dictionary holds."""
     near = (F.col("id") <= AT_HAND) & (F.length("word") <= SHORT)
@@ -115,8 +139,9 @@ def radix_order(columns: list[np.ndarray]) -> np.ndarray:
     return np.arange(len(columns[0])) if order is None else order
 
 
-def keys_of(seq: np.ndarray) -> pd.DataFrame:
-    """(hi, lo, n) of the places of a block, sorted and added up: ids of the four words from there on, zero from the first break."""
+def keys_of(seq: np.ndarray, width: int = 32) -> pd.DataFrame:
+    """(hi, lo, n) of the places of a block, sorted and added up: ids of the four words from there on, of ``width`` bits each, zero from
+    the first break."""
     w = [seq]
     for k in range(1, 4):
         after = np.zeros_like(seq)
@@ -127,27 +152,32 @@ def keys_of(seq: np.ndarray) -> pd.DataFrame:
     w = [c[here] for c in w]
     order = radix_order(w)
     a, b, c, d = (x[order].astype(np.int64) for x in w)
-    hi, lo = a << 32 | b, c << 32 | d
+    hi, lo = a << width | b, c << width | d
     starts = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, dtype=np.int64)
     return pd.DataFrame({"hi": hi[starts], "lo": lo[starts], "n": np.diff(np.append(starts, len(hi)))})
 
 
-def places(blocks: DataFrame, known: DataFrame) -> DataFrame:
+def places(blocks: DataFrame, known: DataFrame, width: int = 32) -> DataFrame:
     """(hi, lo, n): keys of each block, added up in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for codes, pos, ids in zip(b["codes"], b["pos"], b["ids"], strict=True):
-                codes = np.frombuffer(codes, dtype="<u4")
+            for size, codes, pos, ids in zip(b["size"], b["codes"], b["pos"], b["ids"], strict=True):
+                codes = unpacked(codes, size)
                 id_of = np.zeros(int(codes.max()) + 1, dtype=np.uint32)
                 id_of[np.asarray(pos) + 1] = ids
-                yield keys_of(id_of[codes])
+                yield keys_of(id_of[codes], width)
+
+    return blocks.select("block", "size", "codes").join(known, "block").select("size", "codes", "pos", "ids").mapInPandas(run, "hi long, lo long, n long")
 
-    return blocks.select("block", "codes").join(known, "block").select("codes", "pos", "ids").mapInPandas(run, "hi long, lo long, n long")
 
+def count_runs(keys: DataFrame, least: int, width: int = 32) -> DataFrame:
+    """(hi, lo, a): how often each prefix of two, three and four ids occurs, where that is ``least`` or more. ``keys`` have ids of ``width``
+    bits, the prefixes of 32."""
+    low = (1 << width) - 1
 
-def count_runs(keys: DataFrame, least: int) -> DataFrame:
-    """(hi, lo, a): how often each prefix of two, three and four ids occurs, where that is ``least`` or more."""
+    def wide(hi: np.ndarray, lo: np.ndarray, a: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"hi": hi >> width << 32 | hi & low, "lo": lo >> width << 32 | lo & low, "a": a})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[int, tuple[int, int, int]] = {}  # the run of each length that may go on
@@ -155,8 +185,8 @@ def count_runs(keys: DataFrame, least: int) -> DataFrame:
         for b in batches:
             hi, lo, n = (b[c].to_numpy() for c in ("hi", "lo", "n"))
             out = []
-            for k, keep in ((2, 0), (3, -1 << 32), (4, -1)):
-                here = np.ones(len(hi), dtype=bool) if k == 2 else (lo >> 32 != 0) if k == 3 else (lo & LOW != 0)
+            for k, keep in ((2, 0), (3, -1 << width), (4, -1)):
+                here = np.ones(len(hi), dtype=bool) if k == 2 else (lo >> width != 0) if k == 3 else (lo & low != 0)
                 h, w, m = hi[here], lo[here] & keep, n[here]
                 if not len(h):
                     continue
@@ -172,10 +202,10 @@ def count_runs(keys: DataFrame, least: int) -> DataFrame:
                 if k not in begun and len(enough):
                     begun.add(k)
                     enough[0] = True
-                out.append(pd.DataFrame({"hi": h[:-1][enough], "lo": w[:-1][enough], "a": m[:-1][enough]}))
+                out.append(wide(h[:-1][enough], w[:-1][enough], m[:-1][enough]))
             yield from out
         if open_:
-            yield pd.DataFrame(list(open_.values()), columns=["hi", "lo", "a"])
+            yield wide(*np.array(list(open_.values()), dtype=np.int64).T)
 
     ordered = keys.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo")
     return ordered.mapInPandas(run, "hi long, lo long, a long").groupBy("hi", "lo").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
@@ -202,7 +232,8 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
         blocks = stage(blocks_of(docs, lang_col, text_col), "phrase-blocks")
     dictionary = dictionary_of(blocks, least)
     known = stage(ids_of_blocks(blocks, dictionary), "phrase-ids")
-    grams = stage(count_runs(places(blocks, known), least), "phrase-grams")  # keys are made once to sample their ranges, once to be sent there
+    width = width_of(dictionary)
+    grams = stage(count_runs(places(blocks, known, width), least, width), "phrase-grams")  # keys are made once to sample their ranges, once to be sent there
     drop_staged(known)
 
     size = f"CASE WHEN {IDS[2]} = 0 THEN 2 WHEN {IDS[3]} = 0 THEN 3 ELSE 4 END"

@@ -107,3 +107,36 @@ def test_sql_is_the_plain_count():
     want = plain([r[:2] for r in rows_of(7, 3000)], 30)
     got = con.execute("SELECT lang, rank, phrase, a, l, r, n, score FROM (" + m.ORACLE["op12_phrases"] + ")").fetchall()
     assert sorted(got) == want
+
+
+def test_a_lang_fills_its_block_whatever_other_langs_hold(spark):
+    docs = spark.createDataFrame([(x, "ab cd ef. " * 10) for _ in range(60) for x in ("en", "de", "fr", None)], "lang string, text string").coalesce(1)
+    made = m.blocks_of(docs, "lang", "text", 700).collect()
+    assert Counter(b.lang for b in made) == {"en": 4, "de": 4, "fr": 4, "und": 4}  # 60 texts of 41 places each; not one for each 700 of all langs
+    many = spark.createDataFrame([(str(i % 50), "ab cd " * 10) for i in range(1000)], "lang string, text string").coalesce(1)
+    made = m.blocks_of(many, "lang", "text", 300).collect()
+    assert sum(sum(b.counts) for b in made) == 20_000 and len(made) > 50  # what a task holds of all langs together is bounded
+
+
+def test_word_numbers_are_packed_and_ids_are_as_wide_as_they_must():
+    r = np.random.default_rng(4)
+    codes = np.minimum(r.zipf(1.3, 50_000), 1 << 20).astype(np.uint32)
+    small = m.packed(codes)
+    assert len(small) < 2.5 * len(codes) and (m.unpacked(small, len(codes)) == codes).all()
+    assert (m.unpacked(m.packed(np.array([(1 << 32) - 1, 0, 1 << 24], dtype=np.uint32)), 3) == [(1 << 32) - 1, 0, 1 << 24]).all()
+    seq = r.integers(0, 1 << 18, 5000).astype(np.uint32)
+    full, slim = m.keys_of(seq), m.keys_of(seq, 18)
+    assert int(slim[["hi", "lo"]].to_numpy().max()) < 1 << 36
+    for x, y in ((full[c].to_numpy(), slim[c].to_numpy()) for c in ("hi", "lo")):
+        assert (x >> 32 == y >> 18).all() and (x & m.LOW == y & ((1 << 18) - 1)).all()
+
+
+def test_runs_of_slim_keys_give_the_same_prefixes(spark):
+    r = random.Random(6)
+    ids = [[r.randrange(1, 4), r.randrange(1, 4), r.randrange(4), r.randrange(4)] for _ in range(2000)]
+    rows = [(a, b, c, d if c else 0, r.randrange(1, 4)) for a, b, c, d in ids]
+    got = []
+    for width in (2, 31, 32):
+        keys = spark.createDataFrame([(a << width | b, c << width | d, n) for a, b, c, d, n in rows], "hi long, lo long, n long")
+        got.append(sorted(map(tuple, m.count_runs(keys, 20, width).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50
