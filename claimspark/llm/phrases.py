@@ -4,9 +4,11 @@ Texts become blocks of word numbers, each block with a dictionary of its own; th
 that of the corpus, so a word travels once for each block that holds it, not once for each place. Words below ``least``
 break the pieces: no phrase that counts can hold one. Every place gives one key of fixed width, the four ids from there on
 (two longs of two ids each, zero where the piece ends; an id has as many bits as the largest needs, so that little is sent), so the
-phrases of two, three and four words that begin there are the key's prefixes. Each block's keys are put in order by radix sort and added up by run length; the runs are
-partitioned by range, sorted, and counted by run length again, for each prefix length, with nothing but the open run in
-memory. Only the first and last run of a partition can go on in another one; they are added up by key.
+phrases of two, three and four words that begin there are the key's prefixes. Each block's keys are put in order by radix sort, added up by run
+length and cut into pieces at bounds that are the same for all blocks; a piece travels packed, by differences. The pieces between two
+bounds, about ``RANGE`` places, are put in order and counted by run length again, for each prefix length. Only the first and last run
+between two bounds can go on beyond them; they are added up by key. Windows of words taken at even distances say where to put the
+bounds, nothing else.
 
 Null text counts as empty and null lang as ``und``; ties are settled by phrase; repeated rows count each; very long texts
 are blocks of their own; an empty table gives an empty result. Columns but lang and text are not read, whatever their names.
@@ -15,7 +17,7 @@ are blocks of their own; an empty table gives an empty result. Columns but lang
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import TEXTS, batches_of, drop_staged, stage, table
+from claimspark.llm.grams import whole_groups
 
 #: Places of a block, and how many times as many a task holds of all langs together.
 BLOCK_TOKENS, HELD = 1_500_000, 4
+#: Places between two bounds, windows of a block that show where to put them, and pieces that go to Python at once.
+RANGE, WINDOWS, PIECES = 1_000_000, 32, 64
 #: The commonest words' ids go to every task: as many, of as many bytes at most.
 AT_HAND, SHORT = 65_536, 64
 BREAK = b"\n"
@@ -47,19 +52,22 @@ class _Numbers(dict):
         return n
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Word numbers as bytes: those of one weight stand together, most of the higher ones are zero."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as bytes: those of one weight stand together, most of the higher ones are zero."""
+    bytes_ = numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+    return pa.compress(np.ascontiguousarray(bytes_.T).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(codes: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(codes, decompressed_size=4 * size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0]
+def unpacked(numbers: bytes, size: int, kind: str = "<u4") -> np.ndarray:
+    each = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(numbers, decompressed_size=each * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(each, -1).T).view(kind)[:, 0]
 
 
 def blocks_of(docs: DataFrame, lang_col: str, text_col: str, tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(block, lang, words, counts, size, codes): word numbers of about ``tokens`` places of one lang. One pass, no shuffle. A lang's block
-    ends when it is full, or when it is the largest of more than a task is to hold."""
+    """(block, lang, words, counts, size, codes, windows): word numbers of about ``tokens`` places of one lang, and ``WINDOWS`` times four
+    words that follow each other. One pass, no shuffle. A lang's block ends when it is full, or when it is the largest of more than a task
+    is to hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -74,7 +82,9 @@ def blocks_of(docs: DataFrame, lang_col: str, text_col: str, tokens: int = BLOCK
             if words:
                 made += 1
                 counts = np.bincount(codes, minlength=len(words) + 1)[1:]
-                yield pd.DataFrame({"block": [made], "lang": [lang], "words": [words], "counts": [counts], "size": [len(codes)], "codes": [packed(codes)]})
+                at = np.arange(len(codes) // (2 * WINDOWS), len(codes), -(-len(codes) // WINDOWS))
+                windows = [[words[c - 1] if c else BREAK for c in codes[k : k + 4].tolist()] for k in at.tolist()]
+                yield pd.DataFrame({"block": [made], "lang": [lang], "words": [words], "counts": [counts], "size": [len(codes)], "codes": [packed(codes)], "windows": [windows]})
 
         for b in batches:
             for lang, text in zip(b["l"], b["t"], strict=True):
@@ -92,7 +102,7 @@ def blocks_of(docs: DataFrame, lang_col: str, text_col: str, tokens: int = BLOCK
             yield from rows(lang)
 
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("l"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(run, "block long, lang string, words array<binary>, counts array<long>, size int, codes binary")
+    return slim.mapInPandas(run, "block long, lang string, words array<binary>, counts array<long>, size int, codes binary, windows array<array<binary>>")
 
 
 def dictionary_of(blocks: DataFrame, least: int) -> DataFrame:
@@ -157,8 +167,45 @@ def keys_of(seq: np.ndarray, width: int = 32) -> pd.DataFrame:
     return pd.DataFrame({"hi": hi[starts], "lo": lo[starts], "n": np.diff(np.append(starts, len(hi)))})
 
 
-def places(blocks: DataFrame, known: DataFrame, width: int = 32) -> DataFrame:
-    """(hi, lo, n): keys of each block, added up in it."""
+def bounds_of(blocks: DataFrame, dictionary: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo), ascending: keys that leave about ``RANGE`` places between two of them, as far as the blocks' windows tell."""
+    word = blocks.select("block", "lang", F.posexplode("windows").alias("window", "four")).select("block", "lang", "window", F.posexplode("four").alias("at", "word"))
+    found = word.join(dictionary.select("lang", "word", "id"), ["lang", "word"], "left").groupBy("block", "window")
+    rows = found.agg(*[F.coalesce(F.max(F.when(F.col("at") == k, F.col("id"))), F.lit(0)).alias(f"w{k}") for k in range(4)]).where("w0 <> 0 AND w1 <> 0").select("w0", "w1", "w2", "w3").toPandas()
+    w = [rows[c].to_numpy(dtype=np.int64) for c in rows]
+    w[3] = np.where(w[2] == 0, 0, w[3])
+    hi, lo = w[0] << width | w[1], w[2] << width | w[3]
+    parts = -(-int(blocks.agg(F.sum("size")).first()[0] or 0) // RANGE)
+    order = np.lexsort((lo, hi))[np.arange(1, parts) * len(hi) // max(parts, 1)] if len(hi) else np.zeros(0, dtype=np.int64)
+    hi, lo = hi[order], lo[order]
+    new = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))[: len(hi)]
+    return hi[new], lo[new]
+
+
+def cut_at(hi: np.ndarray, lo: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where in the ascending keys each bound comes: the first key that is not below it."""
+    begin, end = np.searchsorted(hi, bounds[0]), np.searchsorted(hi, bounds[0], side="right")
+    return np.array([b + np.searchsorted(lo[b:e], x) for b, e, x in zip(begin.tolist(), end.tolist(), bounds[1].tolist(), strict=True)], dtype=np.int64)
+
+
+def piece_of(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, width: int) -> dict:
+    """Ascending keys, packed: differences of hi, those of the third id where hi stays, the fourth, n."""
+    c, stays = lo >> width, np.append(False, hi[1:] == hi[:-1])
+    step = c - np.where(stays, np.append(0, c[:-1]), 0)
+    return {"size": len(hi), "hi": packed(np.diff(hi, prepend=0), "<i8"), "c": packed(step), "d": packed(lo & ((1 << width) - 1)), "n": packed(n, "<i8")}
+
+
+def keys_in(size: int, hi: bytes, c: bytes, d: bytes, n: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``piece_of`` packed."""
+    step, c = unpacked(hi, size, "<i8"), unpacked(c, size).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, step[1:] != 0))
+    up = np.cumsum(c)
+    c = up - np.repeat((up - c)[starts], np.diff(np.append(starts, size)))
+    return np.cumsum(step), c << width | unpacked(d, size).astype(np.int64), unpacked(n, size, "<i8")
+
+
+def pieces(blocks: DataFrame, known: DataFrame, bounds: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """(p, size, hi, c, d, n): keys of each block, added up in it, and packed between each two bounds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -166,14 +213,20 @@ def places(blocks: DataFrame, known: DataFrame, width: int = 32) -> DataFrame:
                 codes = unpacked(codes, size)
                 id_of = np.zeros(int(codes.max()) + 1, dtype=np.uint32)
                 id_of[np.asarray(pos) + 1] = ids
-                yield keys_of(id_of[codes], width)
+                keys = keys_of(id_of[codes], width)
+                hi, lo, n = (keys[c].to_numpy() for c in ("hi", "lo", "n"))
+                cuts = [0, *cut_at(hi, lo, bounds).tolist(), len(hi)]
+                out = [{"p": p, **piece_of(hi[s:e], lo[s:e], n[s:e], width)} for p, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+                if out:
+                    yield pd.DataFrame(out)
 
-    return blocks.select("block", "size", "codes").join(known, "block").select("size", "codes", "pos", "ids").mapInPandas(run, "hi long, lo long, n long")
+    joined = blocks.select("block", "size", "codes").join(known, "block").select("size", "codes", "pos", "ids")
+    return joined.mapInPandas(run, "p int, size int, hi binary, c binary, d binary, n binary")
 
 
-def count_runs(keys: DataFrame, least: int, width: int = 32) -> DataFrame:
-    """(hi, lo, a): how often each prefix of two, three and four ids occurs, where that is ``least`` or more. ``keys`` have ids of ``width``
-    bits, the prefixes of 32."""
+def runs_of(least: int, width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From ascending (hi, lo, n), ids of ``width`` bits, to (hi, lo, a) with 32: how often each prefix of two, three and four ids occurs
+    there, where that is ``least`` or more or the prefix may go on before or after."""
     low = (1 << width) - 1
 
     def wide(hi: np.ndarray, lo: np.ndarray, a: np.ndarray) -> pd.DataFrame:
@@ -207,8 +260,32 @@ def count_runs(keys: DataFrame, least: int, width: int = 32) -> DataFrame:
         if open_:
             yield wide(*np.array(list(open_.values()), dtype=np.int64).T)
 
+    return run
+
+
+def _enough(counts: DataFrame, least: int) -> DataFrame:
+    return counts.groupBy("hi", "lo").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def count_runs(keys: DataFrame, least: int) -> DataFrame:
+    """(hi, lo, a): how often each prefix of two, three and four ids occurs in keys (hi, lo, n), where that is ``least`` or more."""
     ordered = keys.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo")
-    return ordered.mapInPandas(run, "hi long, lo long, a long").groupBy("hi", "lo").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return _enough(ordered.mapInPandas(runs_of(least, 32), "hi long, lo long, a long"), least)
+
+
+def count_pieces(packed_keys: DataFrame, least: int, width: int) -> DataFrame:
+    """``count_runs`` of what ``pieces`` gives: the pieces between two bounds meet in one task."""
+    low = (1 << width) - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in whole_groups(batches, "p"):
+            for _, b in some.groupby("p"):
+                hi, lo, n = (np.concatenate(x) for x in zip(*(keys_in(*row, width) for row in zip(*(b[c] for c in ("size", "hi", "c", "d", "n")), strict=True)), strict=True))
+                order = radix_order([x.astype(np.uint32) for x in (hi >> width, hi & low, lo >> width, lo & low)])
+                yield from runs_of(least, width)(iter([pd.DataFrame({"hi": hi[order], "lo": lo[order], "n": n[order]})]))
+
+    met = packed_keys.repartition("p").sortWithinPartitions("p")
+    return _enough(met.mapInPandas(run, "hi long, lo long, a long"), least)
 
 
 #: The ids of a key, as SQL.
@@ -233,7 +310,8 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     dictionary = dictionary_of(blocks, least)
     known = stage(ids_of_blocks(blocks, dictionary), "phrase-ids")
     width = width_of(dictionary)
-    grams = stage(count_runs(places(blocks, known, width), least, width), "phrase-grams")  # keys are made once to sample their ranges, once to be sent there
+    with batches_of(spark, PIECES):
+        grams = stage(count_pieces(pieces(blocks, known, bounds_of(blocks, dictionary, width), width), least, width), "phrase-grams")
     drop_staged(known)
 
     size = f"CASE WHEN {IDS[2]} = 0 THEN 2 WHEN {IDS[3]} = 0 THEN 3 ELSE 4 END"

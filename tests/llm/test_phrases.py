@@ -131,12 +131,39 @@ def test_word_numbers_are_packed_and_ids_are_as_wide_as_they_must():
         assert (x >> 32 == y >> 18).all() and (x & m.LOW == y & ((1 << 18) - 1)).all()
 
 
-def test_runs_of_slim_keys_give_the_same_prefixes(spark):
+def test_pieces_between_bounds_give_the_same_prefixes(spark):
     r = random.Random(6)
-    ids = [[r.randrange(1, 4), r.randrange(1, 4), r.randrange(4), r.randrange(4)] for _ in range(2000)]
-    rows = [(a, b, c, d if c else 0, r.randrange(1, 4)) for a, b, c, d in ids]
-    got = []
-    for width in (2, 31, 32):
-        keys = spark.createDataFrame([(a << width | b, c << width | d, n) for a, b, c, d, n in rows], "hi long, lo long, n long")
-        got.append(sorted(map(tuple, m.count_runs(keys, 20, width).collect())))
-    assert got[0] == got[1] == got[2] and len(got[0]) > 50
+    rows = [(a, b, c, d if c else 0, r.randrange(1, 4)) for a, b, c, d in ([r.randrange(1, 4), r.randrange(1, 4), r.randrange(4), r.randrange(4)] for _ in range(2000))]
+    want = sorted(map(tuple, m.count_runs(spark.createDataFrame([(a << 32 | b, c << 32 | d, n) for a, b, c, d, n in rows], "hi long, lo long, n long"), 20).collect()))
+    assert len(want) > 50
+    for width, bounds in ((2, []), (2, [(1 << 2 | 2, 0), (2 << 2 | 1, 1 << 2 | 2), (2 << 2 | 1, 1 << 2 | 3), (3 << 2 | 3, 15)]), (31, [(2 << 31 | 2, 2 << 31)])):
+        made = []
+        for s in range(0, len(rows), 500):
+            keys = sorted((a << width | b, c << width | d, n) for a, b, c, d, n in rows[s : s + 500])
+            hi, lo, n = np.array(keys, dtype=np.int64).T
+            cuts = [0, *m.cut_at(hi, lo, tuple(np.array([x[k] for x in bounds], dtype=np.int64) for k in (0, 1))).tolist(), len(hi)]
+            for p, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if y > x:
+                    piece = m.piece_of(hi[x:y], lo[x:y], n[x:y], width)
+                    assert all((u == v).all() for u, v in zip(m.keys_in(*piece.values(), width), (hi[x:y], lo[x:y], n[x:y]), strict=True))
+                    assert all(k[:2] < b for k in keys[x:y] for b in bounds[p:]) and all(k[:2] >= b for k in keys[x:y] for b in bounds[:p])
+                    made.append((p, *piece.values()))
+        got = m.count_pieces(spark.createDataFrame(made, "p int, size int, hi binary, c binary, d binary, n binary"), 20, width)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_packed_keys_take_few_bytes():
+    r = np.random.default_rng(8)
+    keys = m.keys_of(np.minimum(r.zipf(1.2, 200_000), 1 << 17).astype(np.uint32), 18)
+    piece = m.piece_of(*(keys[c].to_numpy() for c in ("hi", "lo", "n")), 18)
+    assert sum(len(x) for k, x in piece.items() if k != "size") < 8 * len(keys)  # rows of three numbers took 12 in a shuffle
+
+
+@pytest.mark.parametrize("places", [50, 1000])
+def test_many_ranges_against_a_plain_count(spark, monkeypatch, places):
+    rows = rows_of(9)
+    monkeypatch.setattr(m.blocks_of, "__defaults__", (300,))
+    monkeypatch.setattr(m, "RANGE", places)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert len(m.bounds_of(m.stage(m.blocks_of(docs, "lang", "text"), "b"), m.dictionary_of(m.blocks_of(docs, "lang", "text"), 5), 8)[0]) >= 5
+    assert sorted(map(tuple, m.phrases(docs, least=5).collect())) == plain([(a, t) for a, t, *_ in rows], 5)
